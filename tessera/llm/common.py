@@ -67,7 +67,7 @@ def clean_up(spark: SparkSession) -> None:
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a staged table is known to fit a broadcast, judged by the optimizer's size of its files."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size <= limit
 
 
