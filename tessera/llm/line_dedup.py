@@ -20,10 +20,12 @@ from .common import col, fresh, row_key
 
 def covered_lines(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(rk, cut): for each row key the line numbers, from 0, that later occurrences cover."""
-    base = docs.select(col(doc_id).alias("d"), row_key(doc_id, text).alias("rk"), F.split(col(text), "\n").alias("lines")).where(F.size("lines") >= width)
-    lines = ", ".join(f"get(lines, p + {k})" for k in range(width))
-    hashed = f"transform(sequence(0, greatest(size(lines) - {width}, 0)), p -> struct(p, xxhash64({lines}) as h, xxhash64('2', {lines}) as g))"
-    places = base.select("d", "rk", F.expr(hashed).alias("w")).select("d", "rk", F.inline("w"))
+    # a lambda's variable holds the lines, else every use of them would split the text again; inline_outer, as
+    # Spark would compute the argument of inline a second time to filter by its size
+    lines = ", ".join(f"get(l, p + {k})" for k in range(width))
+    windows = f"transform(sequence(0, greatest(size(l) - {width}, 0)), p -> struct(p, xxhash64({lines}) as h, xxhash64('2', {lines}) as g, p + {width} <= size(l) as ok))"
+    base = docs.select(col(doc_id).alias("d"), row_key(doc_id, text).alias("rk"), col(text).alias("text")).where("text is not null")
+    places = base.select("d", "rk", F.expr(f"element_at(transform(array(split(text, '\\n')), l -> {windows}), 1)").alias("w")).select("d", "rk", F.expr("inline_outer(w)")).where("ok")
     same = Window.partitionBy("h", "g")
     place = F.struct(F.col("d"), F.col("rk"), F.col("p"))
     later = places.select("rk", "p", place.alias("place"), F.min(place).over(same).alias("least"), F.count("*").over(same).alias("n")).where("n > 1 and place > least")
@@ -34,9 +36,8 @@ def line_dedup(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: st
     """``docs`` without the lines that later occurrences of repeated windows cover."""
     rk, cut, key = fresh(docs, "rk", "cut", "key")
     gone = covered_lines(docs, width, doc_id, text).select(F.col("rk").alias(key), F.col("cut").alias(cut))
-    lines = F.split(col(text), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), col(cut))
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    rest = lambda l: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(l) - 1), col(cut)), lambda i: F.get(l, i)), "\n")
+    kept = F.element_at(F.transform(F.array(F.split(col(text), "\n")), rest), 1)
     new = F.when(col(cut).isNull(), col(text)).otherwise(kept)
     out = docs.withColumn(rk, row_key(doc_id, text)).join(gone, col(rk) == col(key), "left")
     changed = {text: new}
