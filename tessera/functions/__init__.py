@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Column functions: Hangul arithmetic, text normalisation, tag maps, costs and hashes."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Relational operators over token, vote, pool and gold tables."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Registered queries and their SQL twins."""
