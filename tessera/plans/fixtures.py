@@ -1,0 +1,108 @@
+"""Queries over small Korean fixtures; the SQL gives the expected rows, worked out by hand."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import hangul, morphemes, text
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _chars(spark, *cs):
+    return spark.createDataFrame([(c,) for c in cs], "c string")
+
+
+@query("SELECT * FROM (VALUES ('한','ㅎ','ㅏ','ㄴ'), ('값','ㄱ','ㅏ','ㅄ'), ('가','ㄱ','ㅏ',''), ('힣','ㅎ','ㅣ','ㅎ'), ('A',NULL,NULL,NULL), ('ㄱ',NULL,NULL,NULL)) t(c, onset, vowel, coda)")
+def hangul_decompose(spark, d):
+    return _chars(spark, "한", "값", "가", "힣", "A", "ㄱ").select("c", hangul.decompose(F.col("c")).alias("x")).select("c", "x.onset", "x.vowel", "x.coda")
+
+
+@query("SELECT * FROM (VALUES ('ㅎ','ㅏ','ㄴ','한'), ('ㄱ','ㅏ','','가'), ('ㅎ','ㅣ','ㅎ','힣'), ('ㅏ','ㅏ','',NULL), ('ㄱ','ㅏ','ㄸ',NULL)) t(onset, vowel, coda, c)")
+def hangul_compose(spark, d):
+    rows = spark.createDataFrame([("ㅎ", "ㅏ", "ㄴ"), ("ㄱ", "ㅏ", ""), ("ㅎ", "ㅣ", "ㅎ"), ("ㅏ", "ㅏ", ""), ("ㄱ", "ㅏ", "ㄸ")], "onset string, vowel string, coda string")
+    return rows.withColumn("c", hangul.compose(F.col("onset"), F.col("vowel"), F.col("coda")))
+
+
+@query("SELECT * FROM (VALUES ('친','치','ㄴ',NULL), ('다',NULL,NULL,'단'), ('값',NULL,NULL,NULL), ('있','이','ㅆ',NULL), ('하',NULL,NULL,'한')) t(c, open, coda, attached)")
+def hangul_codas(spark, d):
+    x = _chars(spark, "친", "다", "값", "있", "하").select("c", hangul.split_coda(F.col("c")).alias("s"), hangul.attach_coda(F.col("c"), F.lit("ㄴ")).alias("attached"))
+    return x.select("c", "s.open", "s.coda", "attached")
+
+
+@query("SELECT * FROM (VALUES ('ㅋㅋㅋㅋ 진짜', 'ㅋㅋ 진짜'), ('ㅇㅋ 갈게', '오케이 갈게'), ('ㅠㅠ', 'ㅠㅠ'), ('워디 가유', '어디 가요'), ('가ㄱㅅ', '가ㄱㅅ')) t(raw, clean)")
+def text_normalize(spark, d):
+    rows = spark.createDataFrame([("ㅋㅋㅋㅋ 진짜",), ("ㅇㅋ 갈게",), ("ㅠㅠ",), ("워디 가유",), ("가ㄱㅅ",)], "raw string")
+    return rows.withColumn("clean", text.normalize(F.col("raw"), abbreviations=True, dialect=True))
+
+
+@query("SELECT * FROM (VALUES (1,0,'안녕하세요.'), (1,1,'반갑습니다!'), (1,2,'또 봐요'), (2,0,'그렇다'), (2,1,'하지만')) t(id, k, sentence)")
+def sentence_split(spark, d):
+    rows = spark.createDataFrame([(1, "안녕하세요. 반갑습니다! 또 봐요"), (2, "그렇다 하지만")], "id int, t string")
+    return rows.select("id", F.posexplode(text.sentences(F.col("t"))).alias("k", "sentence"))
+
+
+@query("SELECT * FROM (VALUES ('오늘은 날씨가 참 좋다', true), ('짧다', false), ('hello 안녕하세요 world foo', false), ('오늘 the 하늘이 맑다', false), ('오늘 a 하늘이 맑다', true)) t(s, keep)")
+def korean_sentence_filter(spark, d):
+    rows = spark.createDataFrame([("오늘은 날씨가 참 좋다",), ("짧다",), ("hello 안녕하세요 world foo",), ("오늘 the 하늘이 맑다",), ("오늘 a 하늘이 맑다",)], "s string")
+    return rows.withColumn("keep", text.is_korean_sentence(F.col("s")))
+
+
+@query("SELECT * FROM (VALUES ('kkma','EFN','EF'), ('kkma','NNG','NNG'), ('mecab','SC','SP'), ('mecab','EP+EF','EP'), ('kiwi','SSO','SS')) t(analyzer, tag, common)")
+def tag_maps(spark, d):
+    rows = spark.createDataFrame([("kkma", "EFN"), ("kkma", "NNG"), ("mecab", "SC"), ("mecab", "EP+EF"), ("kiwi", "SSO")], "analyzer string, tag string")
+    out = None
+    for name, table in text.TAG_MAPS.items():
+        mapped = text.map_tag(text.first_tag(F.col("tag")), table)
+        out = F.when(F.col("analyzer") == name, mapped) if out is None else out.when(F.col("analyzer") == name, mapped)
+    return rows.withColumn("common", out)
+
+
+def _readings(spark, rows):
+    return spark.createDataFrame([(k, [tuple(m.rsplit("/", 1)) for m in r.split()]) for k, r in rows], "id int, ms array<struct<form:string,pos:string>>")
+
+
+def _shown(ms):
+    return F.array_join(F.transform(ms, lambda m: F.concat(m["form"], F.lit("/"), m["pos"])), " ")
+
+
+@query("SELECT * FROM (VALUES (1,'하/XSV 았/EP 다/EF'), (2,'첨예하/VA 게/EC'), (3,'먹/VV 았/EP 아/EF'), (4,'''/SS ᆫ다/EF'), (5,'이/VCP 았/EP')) t(id, norm)")
+def comparable_morphemes(spark, d):
+    rows = [(1, "했/XSV+EP 다/EF"), (2, "첨예/XR 하/XSA 게/EC"), (3, "먹/VV 었/EP 어/EF"), (4, "‘/SSO ㄴ다/EF"), (5, "였/VCP+EP")]
+    return _readings(spark, rows).select("id", _shown(morphemes.comparable(F.col("ms"))).alias("norm"))
+
+
+@query("SELECT * FROM (VALUES (1,'보/VV 았/EP 다/EF'), (2,'하/VV 였/EP 다/EF'), (3,'먹/VV 었/EP'), (4,'었/EP 다/EF')) t(id, unified)")
+def past_endings(spark, d):
+    rows = [(1, "보/VV 었/EP 다/EF"), (2, "하/VV 았/EP 다/EF"), (3, "먹/VV 았/EP"), (4, "었/EP 다/EF")]
+    return _readings(spark, rows).select("id", _shown(morphemes.unified_past(F.col("ms"))).alias("unified"))
+
+
+@query("SELECT * FROM (VALUES (1,'하/VV 였/EP'), (2,NULL)) t(id, resolved)")
+def candidate_convergence(spark, d):
+    rows = [(1, "하/VV 았/EP"), (1, "하/VV 었/EP"), (2, "하/VV 았/EP"), (2, "하/XSV 았/EP")]
+    c = _readings(spark, rows).groupBy("id").agg(F.collect_list("ms").alias("c"))
+    return c.select("id", _shown(morphemes.converged(F.col("c"))).alias("resolved"))
+
+
+@query("SELECT * FROM (VALUES (1,'사회적/NNG 이/VCP'), (2,'사람/NNG 들/XSN'), (3,'공부하/VV 다/EF'), (4,'되/VV')) t(id, merged)")
+def convention_2025(spark, d):
+    rows = [(1, "사회/NNG 적/XSN 이/VCP"), (2, "사람/NNG 들/XSN"), (3, "공부/NNG 하/XSV 다/EF"), (4, "되/VX")]
+    return _readings(spark, rows).select("id", _shown(morphemes.merged_derivations(F.col("ms"))).alias("merged"))
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true)) t(id, fits)")
+def codebook_key_filter(spark, d):
+    rows = [(1, "하/XSV 았/EP"), (2, "가나다/NNG 이/JKS"), (3, "었/EP 다/EF")]
+    return _readings(spark, rows).select("id", morphemes.fits_key(F.lit("했다"), F.col("ms")).alias("fits"))

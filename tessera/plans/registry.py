@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational
+from . import analysis, fixtures, relational
 
-_MODULES = (relational,)
+_MODULES = (analysis, fixtures, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
