@@ -9,6 +9,7 @@ Rules work from left to right on the tokens as rewritten so far.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -29,6 +30,7 @@ NOMINAL = NOUN + "|SN|SL"
 SUBJECT = NOMINAL + "|XSN"
 VERB = "VV|VA|VX"
 
+_KEPT = re.compile(r"@(\d+)(?:/(\w+))?")
 Item = tuple[frozenset[str] | None, frozenset[str] | None]
 
 
@@ -82,13 +84,12 @@ class Rule:
                 i += 1
                 continue
             own = t[i : i + len(self.items)]
-            kept = {int(x[1:].partition("/")[0]) for x in self.new if x[0] == "@"}
+            kept = {int(m[1]) for x in self.new if (m := _KEPT.fullmatch(x))}
             gone = [x for k, x in enumerate(own) if k not in kept] or own
             made = []
             for x in self.new:
-                if x[0] == "@":
-                    k, _, tag = x[1:].partition("/")
-                    made.append(own[int(k)]._replace(pos=tag) if tag else own[int(k)])
+                if m := _KEPT.fullmatch(x):
+                    made.append(own[int(m[1])]._replace(pos=m[2]) if m[2] else own[int(m[1])])
                 else:
                     form, _, tag = x.rpartition("/")
                     if "@" in form:  # a form made of the items' forms
