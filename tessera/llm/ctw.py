@@ -175,12 +175,12 @@ def fit(docs: DataFrame, depth: int = DEPTH, text: str = "text") -> DataFrame:
     counts = stage(seen.groupBy("code").agg(F.sum("n").alias("n")), "grams")
     by_context = counts.repartition(F.shiftright("code", 8 * (depth - 1)))
     # nodes of depth 2: bounded by the alphabet (256 x 256 contexts, 255 decisions each), not by the corpus
-    rows = by_context.mapInArrow(_tops(depth), "key long, a double, b double, pw double").toPandas()
+    rows = by_context.mapInArrow(_tops(depth), "key long, a double, b double, pw double").toArrow().sort_by("key")
     base, rest = np.zeros(1 << 16), np.ones(1 << 16)
     if len(rows):
-        rows = rows.sort_values("key")
-        two = Level(rows.key.to_numpy().astype(np.uint64), rows.a.to_numpy(), rows.b.to_numpy(), None)
-        two.pw = rows.pw.to_numpy()
+        key, n0, n1, pw = (c.to_numpy() for c in rows.columns)
+        two = Level(key.astype(np.uint64), n0, n1, None)
+        two.pw = pw
         one, _ = two.above()
         zero, up = one.above()
         at = one.key.astype(np.int64)
@@ -219,9 +219,8 @@ def score(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id", text: str
         sums = parts.join(table, "code").groupBy("rk").agg(F.sum(F.col("n") * F.col("bits")).alias(bits)).withColumnRenamed("rk", key)
         met = keyed.join(sums, col(rk) == col(key), "left")
         return met.select(*[col(c) for c in docs.columns], F.when(size > 0, col(bits) / size).alias(name))
-    rows = table.toPandas()
-    order = np.argsort(rows.code.to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast((rows.code.to_numpy()[order].astype(np.uint64), rows.bits.to_numpy()[order].astype(np.float32)))
+    rows = table.toArrow().sort_by("code")
+    shared = docs.sparkSession.sparkContext.broadcast((rows.column(0).to_numpy().astype(np.uint64), rows.column(1).to_numpy().astype(np.float32)))
 
     def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, bits = shared.value
