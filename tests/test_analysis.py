@@ -156,3 +156,25 @@ def test_hash_matches_its_column(spark):
     names = ["bias", "w:정부/NNG", "", "é"]
     df = spark.createDataFrame([(n,) for n in names], "f string").select(feature_bucket(F.col("f")).alias("b"))
     assert [r.b for r in df.collect()] == [select.bucket(n) for n in names] and select.bucket("bias") == 543140
+
+
+def test_greedy_near_duplicates_match_their_definition(spark):
+    import random
+
+    from tessera.operators import curate
+
+    r = random.Random(4)
+    prints, base = {}, [r.getrandbits(63) for _ in range(6)]
+    for k in range(90):
+        f = base[k % 6]
+        for _ in range(r.randrange(5)):
+            f ^= 1 << r.randrange(63)
+        prints[k] = f
+    df = spark.createDataFrame(list(prints.items()), "k long, f long")
+    for most in (3, 6):
+        kept = []
+        for k, f in prints.items():
+            if all((f ^ prints[j]).bit_count() > most for j in kept):
+                kept.append(k)
+        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+        assert sorted(x.k for x in curate.near_duplicates(df, "k", "f", most).collect()) == kept
