@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: A build side is broadcast only when its measured size stays under this many bytes.
 BROADCAST_BYTES = 64 << 20
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[str] = []
 
 
@@ -52,7 +53,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and executors may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # the shuffle files behind the table are of no more use once it is written
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
