@@ -11,7 +11,8 @@ suffix of the corpus is not needed for that, and nothing but these exact steps l
 2. For the starts of the other runs the same test is made with the whole gram of ``least`` words.
 3. The suffixes of what remains, up to where an unrepeated gram ends the repeat, are sorted by Spark (external
    sort), and one pass over each sorted partition computes common prefixes of neighbours, scans them with a stack
-   and tests each closed interval for left-extension diversity. Words are compared, not hashes.
+   and tests each closed interval for left-extension diversity. The first ``least`` words are compared by 192 bits of
+   hashes, which stand for them in the shuffle, all later words as such.
 
 Words are runs of characters other than ASCII white space. A text's begin and end differ from everything.
 
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from .blocks import Words, chunks, mix, pair, shifted, signed, text_buffers, window_hash, word_runs
 from .common import col, fresh, row_key, stage
@@ -41,7 +43,7 @@ def _runs(least: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
-            for lo, _, w in word_runs(batch.column(1)):
+            for lo, _, w in word_runs(batch.column(1), most=1 << 21):
                 n = np.diff(w.first)
                 long = np.flatnonzero(n >= least)
                 if not len(long):
@@ -104,7 +106,7 @@ def _starts(least: int):
             ri, rn, rd = (each.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             off = np.zeros(len(batch) + 1, np.int64)
             np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False), out=off[1:])
-            for lo, hi, w in word_runs(batch.column(1)):
+            for lo, hi, w in word_runs(batch.column(1), most=1 << 21):
                 gram = window_hash(w.hashes, least)
                 cols: list[list[np.ndarray]] = [[], [], [], [], []]
                 for k in range(lo, hi):
@@ -141,60 +143,71 @@ def _starts(least: int):
     return run
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rk, doc_id, text, starts[(i, r, h, prev)] -> the suffix's words, each followed by one space."""
-    for batch in batches:
-        lists = batch.column(3)
-        each = lists.flatten()
-        si, sr = (each.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-        off = np.zeros(len(batch) + 1, np.int64)
-        np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), out=off[1:])
-        body, at = text_buffers(batch.column(2))
-        for lo, hi in chunks(at):
-            w = Words(body[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-            pick, words, held = [], [], 0
-
-            def flush(pick: list, words: list, batch: pa.RecordBatch = batch, each: pa.StructArray = each) -> pa.RecordBatch:
-                row = np.array([p[0] for p in pick])
-                one = each.take(pa.array([p[1] for p in pick]))
-                return pa.RecordBatch.from_arrays([one.field(2), pa.array(words, pa.binary()), batch.column(1).take(pa.array(row)), batch.column(0).take(pa.array(row)), one.field(0), one.field(3)], names=["h", "suffix", "doc_id", "rk", "i", "prev"])
-
-            for k in range(lo, hi):
-                base, n_words = int(w.first[k - lo]), int(w.first[k - lo + 1] - w.first[k - lo])
-                a = min(int(si[off[k] : off[k + 1]].min(initial=n_words)), n_words)
-                tokens = bytes(w.body[w.starts[base + a] : w.ends[base + n_words - 1]]).split() if a < n_words else []
-                lens = np.zeros(len(tokens) + 1, np.int64)
-                np.cumsum([len(t) + 1 for t in tokens], out=lens[1:]) if tokens else None
-                joined = b" ".join(tokens) + b" "
-                seen = set()
-                for j in range(int(off[k]), int(off[k + 1])):
-                    i, r = int(si[j]), int(sr[j])
-                    if i in seen or r > n_words:
-                        continue
-                    seen.add(i)
-                    pick.append((k, j))
-                    words.append(joined[lens[i - a] : lens[r - a]])
-                    held += len(words[-1])
-                    if held > 8 << 20:
-                        yield flush(pick, words)
-                        pick, words, held = [], [], 0
-            if pick:
-                yield flush(pick, words)
-
-
-def common_words(a: bytes, b: bytes) -> int:
-    """Words in the common prefix of two suffixes whose words end with a space."""
+def _suffixes(least: int):
+    """rk, doc_id, text, starts[(i, r, h, prev)] -> a digest of the suffix's first words, then the others with a space each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _suffix_rows(batch, least)
+
+    return run
+
+
+def _suffix_rows(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
+    lists = batch.column(3)
+    each = lists.flatten()
+    si, sr = (each.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+    off = np.zeros(len(batch) + 1, np.int64)
+    np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), out=off[1:])
+    body, at = text_buffers(batch.column(2))
+    for lo, hi in chunks(at, 1 << 21):
+        w = Words(body[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        pick, words, held = [], [], 0
+
+        def flush(pick: list, words: list, batch: pa.RecordBatch = batch, each: pa.StructArray = each) -> pa.RecordBatch:
+            row = np.array([p[0] for p in pick])
+            one = each.take(pa.array([p[1] for p in pick]))
+            return pa.RecordBatch.from_arrays([one.field(2), pa.array(words, pa.binary()), batch.column(1).take(pa.array(row)), batch.column(0).take(pa.array(row)), one.field(0), one.field(3)], names=["h", "suffix", "doc_id", "rk", "i", "prev"])
+
+        for k in range(lo, hi):
+            base, n_words = int(w.first[k - lo]), int(w.first[k - lo + 1] - w.first[k - lo])
+            a = min(int(si[off[k] : off[k + 1]].min(initial=n_words)), n_words)
+            tokens = bytes(w.body[w.starts[base + a] : w.ends[base + n_words - 1]]).split() if a < n_words else []
+            lens = np.zeros(len(tokens) + 1, np.int64)
+            np.cumsum([len(t) + 1 for t in tokens], out=lens[1:]) if tokens else None
+            joined = b" ".join(tokens) + b" "
+            seen = set()
+            for j in range(int(off[k]), int(off[k + 1])):
+                i, r = int(si[j]), int(sr[j])
+                if i in seen or r > n_words:
+                    continue
+                seen.add(i)
+                pick.append((k, j))
+                head = lens[i - a + least]
+                words.append(xxh3_128_digest(joined[lens[i - a] : head]) + joined[head : lens[r - a]])
+                held += len(words[-1])
+                if held > 4 << 20:
+                    yield flush(pick, words)
+                    pick, words, held = [], [], 0
+        if pick:
+            yield flush(pick, words)
+
+
+def common_words(a: bytes, b: bytes, least: int) -> int:
+    """Words in the common prefix of two suffixes: ``least`` for an equal digest, and later ones, which end with a space."""
+    if a[:16] != b[:16]:
+        return 0
     n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return a.count(b" ", 0, n)
-    lo, hi = 0, n  # a[:lo] == b[:lo], a[:hi] != b[:hi]
+    if a[16:n] == b[16:n]:
+        return least + a.count(b" ", 16, n)
+    lo, hi = 16, n  # a[:lo] == b[:lo], a[:hi] != b[:hi]
     while hi - lo > 1:
         mid = (lo + hi) // 2
         if a[lo:mid] == b[lo:mid]:
             lo = mid
         else:
             hi = mid
-    return a.count(b" ", 0, lo)
+    return least + a.count(b" ", 16, lo)
 
 
 class Scan:
@@ -231,7 +244,7 @@ class Scan:
     def add(self, h: int, suffix: bytes, doc, key: int, start: int, prev) -> Iterator[tuple[int, int, int]]:
         k = len(self.doc)
         if k:
-            yield from self.close_to(common_words(self.last, suffix), k)
+            yield from self.close_to(common_words(self.last, suffix, self.least), k)
         self.change.append((self.change[-1] + (prev != self.prev[-1])) if k else 0)
         self.head.append((self.head[-1] if k else 0) + (prev is None))
         self.doc.append(doc)
@@ -261,8 +274,7 @@ def _groups(least: int):
             nonlocal held
             for depth, a, b in nodes:
                 if scan.diverse(a, b):
-                    order = sorted(range(a, b + 1), key=lambda j: (scan.doc[j] is not None, scan.doc[j] or 0, scan.start[j]))
-                    out.append((scan.hash, depth, b - a + 1, [scan.doc[j] for j in order], [scan.start[j] for j in order]))
+                    out.append((scan.hash, depth, b - a + 1, scan.doc[a : b + 1], scan.start[a : b + 1]))
                     held += b - a + 1
 
         def flush() -> pa.RecordBatch:
@@ -333,7 +345,7 @@ def sorted_suffixes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, d
     gram = Window.partitionBy("h")
     tested = starts.select("*", F.count("*").over(gram).alias("c"), F.count("prev").over(gram).alias("p"), F.min("prev").over(gram).alias("a"), F.max("prev").over(gram).alias("b")).where("c > 1 and (p < c or a <> b)")
     by_doc = tested.groupBy("rk").agg(F.collect_list(F.struct("i", "r", "h", "prev")).alias("starts"))
-    rows = held.join(by_doc, "rk").select("rk", "doc_id", "text", "starts").mapInArrow(_suffixes, "h long, suffix binary, doc_id long, rk long, i int, prev long")
+    rows = held.join(by_doc, "rk").select("rk", "doc_id", "text", "starts").mapInArrow(_suffixes(least), "h long, suffix binary, doc_id long, rk long, i int, prev long")
     return held, rows.repartition("h").sortWithinPartitions("h", "suffix", "doc_id", "i")
 
 
