@@ -24,7 +24,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks, text_buffers
@@ -33,7 +33,7 @@ from .common import col
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_MOST_WORDS, _MOST_PAIRS = 300_000, 600_000
+_MOST_WORDS, _MOST_PAIRS = 200_000, 200_000
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -91,6 +91,7 @@ class Pieces:
         self.ids = {s: k for k, (s, kind) in enumerate(zip(self.strings, self.kinds)) if kind in (NORMAL,)}
         if any(MARK in s.lstrip(MARK) for s in self.ids):
             raise ValueError("a piece has a mark after another character")
+        self.own = {s: s for s in self.ids}  # one string object per piece, however often it is met
         self.scores = {s: scores[k] for s, k in self.ids.items()}
         self.byte_ids = {int(s[3:5], 16): k for k, (s, kind) in enumerate(zip(self.strings, self.kinds)) if kind == BYTE}
         self.longest = max(map(len, self.ids), default=1)
@@ -118,7 +119,7 @@ class Pieces:
         if found is None:
             if len(self.pairs) > _MOST_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(a + b) == [a, b]
+            found = self.pairs[self.own.get(a, a), self.own.get(b, b)] = self.merge(a + b) == [a, b]
         return found
 
     def to_ids(self, parts: list[str]) -> list[int]:
@@ -239,94 +240,103 @@ class Encoder:
         return flat, ends[np.searchsorted(starts, at)]
 
 
-def _batches(make, kind: pa.DataType):
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        work = make()
-        for column in columns:
-            if isinstance(column, pa.ChunkedArray):
-                column = column.combine_chunks()
-            yield work(column).cast(kind)
+def _lists(ids: np.ndarray, ends: np.ndarray, missing: np.ndarray) -> pa.ListArray:
+    out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+    if missing.any():
+        out = pa.ListArray.from_buffers(out.type, len(out), [pa.py_buffer(np.packbits(~missing, bitorder="little")), out.buffers()[1]], children=[out.values])
+    return out
 
-    return run
 
+class Decoder:
+    """Bytes of every id."""
 
-def _encoder(data: bytes):
-    def make():
-        encoder = Encoder(Pieces(data))
+    def __init__(self, pieces: Pieces):
+        raw = [bytes([int(s[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else s.replace(MARK, " ").encode() for s, k in zip(pieces.strings, pieces.kinds)]
+        self.at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+        self.silent = np.array([k == CONTROL for k in pieces.kinds])
+        self.marked = np.array([s.startswith(MARK) for s in pieces.strings])
+        self.n = len(raw)
+
+    def decode(self, ids: np.ndarray, cut: np.ndarray) -> list[bytes]:
+        """The bytes that ids[cut[k] : cut[k + 1]] stand for, without the leading mark."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.n):
+            raise ValueError("an id is outside the vocabulary")
+        size = self.at[ids + 1] - self.at[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        body = self.flat[np.repeat(self.at[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        voiced = np.append(np.flatnonzero(~self.silent[ids]), len(ids))
+        first = voiced[np.minimum(np.searchsorted(voiced, cut[:-1]), len(voiced) - 1)]
+        lead = (first < cut[1:]) & self.marked[np.append(ids, 0)[first]] if len(cut) > 1 else np.zeros(0, bool)
+        return [body[a:b] for a, b in zip((ends[cut[:-1]] + lead).tolist(), ends[cut[1:]].tolist())]
 
-        def work(column: pa.Array) -> pa.Array:
-            body, at = text_buffers(column)
-            flat, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-            for lo, hi in chunks(at, 8 << 20):
-                ids, cut = encoder.encode(body[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                flat.append(ids)
-                ends.append(cut[1:] + ends[-1][-1])
-            missing = np.asarray(column.is_null())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(flat)))
-            return lists if not missing.any() else pa.ListArray.from_buffers(lists.type, len(lists), [pa.py_buffer(np.packbits(~missing, bitorder="little")), lists.buffers()[1]], children=[lists.values])
 
-        return work
+def _text(data: bytes) -> str:
+    return data.decode("utf-8", "each_byte")
 
-    return make
 
+def _encoded(data: bytes, check: bool):
+    """key, marked text[, text] -> key, ids[, whether the ids decode to the text], a few MB of text at a time."""
 
-def _decoder(data: bytes):
-    def make():
-        pieces = Pieces(data)
-        raw = [bytes([int(s[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else s.replace(MARK, " ").encode() for s, k in zip(pieces.strings, pieces.kinds)]
-        at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-        flat = np.frombuffer(b"".join(raw), np.uint8)
-        silent = np.array([k == CONTROL for k in pieces.kinds])
-
-        def work(column: pa.Array) -> pa.Array:
-            off = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(raw)):
-                raise ValueError("an id is outside the vocabulary")
-            out: list[str | None] = []
-            missing = np.asarray(column.is_null())
-            for lo, hi in chunks(off, 1 << 20):
-                own = ids[off[lo] : off[hi]]
-                size = at[own + 1] - at[own]
-                ends = np.concatenate([[0], np.cumsum(size)])
-                body = flat[np.repeat(at[own] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
-                cut = ends[off[lo : hi + 1] - off[lo]].tolist()
-                for k, (a, b) in enumerate(pairwise(cut)):
-                    if missing[lo + k]:
-                        out.append(None)
-                        continue
-                    first = own[off[lo + k] - off[lo] : off[lo + k + 1] - off[lo]]
-                    voiced = first[~silent[first]][:1]
-                    lead = len(voiced) and pieces.strings[voiced[0]].startswith(MARK)
-                    out.append(body[a + 1 if lead else a : b].decode("utf-8", "each_byte"))
-            return pa.array(out, pa.string())
-
-        return work
-
-    return make
-
-
-def _read(spark, model: str) -> bytes:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(Pieces(data))
+        decoder = Decoder(encoder.pieces)
+        for batch in batches:
+            body, at = text_buffers(batch.column(1))
+            missing = np.asarray(batch.column(1).is_null())
+            for lo, hi in chunks(at, 2 << 20):
+                ids, cut = encoder.encode(body[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                out = [batch.column(0).slice(lo, hi - lo), _lists(ids, cut, missing[lo:hi])]
+                if check:
+                    own, off = text_buffers(batch.column(2).slice(lo, hi - lo))
+                    own = own.tobytes()
+                    out.append(pa.array([d == own[a:b] for d, (a, b) in zip(decoder.decode(ids, cut), pairwise(off.tolist()))], mask=missing[lo:hi]))
+                yield pa.RecordBatch.from_arrays(out, names=["key", "ids", "round_trip"][: len(out)])
+
+    return run
+
+
+def _read(model: str) -> bytes:
     """The file's bytes, read by the driver; tasks get them with the function, a few hundred KB."""
     with open(model, "rb") as f:
         return f.read()
 
 
+def _marked(text: str) -> Column:
+    return F.when(col(text) == "", "").otherwise(F.concat(F.lit(" "), F.replace(col(text), F.lit(MARK), F.lit(" "))))
+
+
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a column of token ids."""
-    marked = F.when(col(text) == "", "").otherwise(F.concat(F.lit(" "), F.replace(col(text), F.lit(MARK), F.lit(" "))))
-    return docs.withColumn(ids, _udf(_encoder(_read(docs.sparkSession, model)), pa.list_(pa.int32()), "array<int>")(marked))
+    data = _read(model)
 
+    def coded(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(Pieces(data))
+        for column in columns:
+            body, at = text_buffers(column)
+            parts = [encoder.encode(body[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]) for lo, hi in chunks(at, 2 << 20)]
+            ends = np.concatenate([[0], *[np.diff(cut) for _, cut in parts]]).cumsum()
+            yield _lists(np.concatenate([np.zeros(0, np.int32), *[i for i, _ in parts]]), ends, np.asarray(column.is_null()))
 
-def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``docs`` with a column of the texts that the ids stand for."""
-    return docs.withColumn(text, _udf(_decoder(_read(docs.sparkSession, model)), pa.string(), "string")(col(ids)))
+    return docs.withColumn(ids, F.arrow_udf(coded, "array<int>")(_marked(text)))
+
+
+def encode_checked(docs: DataFrame, key: str = "doc_id", model: str = MODEL, text: str = "text") -> DataFrame:
+    """(key, ids, round_trip): ids of every text, decoded again and compared with it (a mark in it counts as a blank)."""
+    rows = docs.select(col(key).alias("key"), _marked(text), F.replace(col(text), F.lit(MARK), F.lit(" ")))
+    return rows.mapInArrow(_encoded(_read(model), True), f"key {docs.schema[key].dataType.simpleString()}, ids array<int>, round_trip boolean").withColumnRenamed("key", key)
 
 
-def _udf(make, kind: pa.DataType, sql: str):
-    run = _batches(make, kind)
+def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """``docs`` with a column of the texts that the ids stand for."""
+    data = _read(model)
 
-    def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return run(columns)
+    def texts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decoder = Decoder(Pieces(data))
+        for column in columns:
+            cut = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+            own = column.flatten().to_numpy(zero_copy_only=False)
+            out = [x for lo, hi in chunks(cut, 1 << 20) for x in decoder.decode(own[cut[lo] : cut[hi]], cut[lo : hi + 1] - cut[lo])]
+            yield pa.array(list(map(_text, out)), pa.string(), mask=np.asarray(column.is_null()))
 
-    return F.arrow_udf(batches, sql)
+    return docs.withColumn(text, F.arrow_udf(texts, "string")(col(ids)))

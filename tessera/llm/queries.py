@@ -11,8 +11,7 @@ from .common import table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return pieces.decode(coded).selectExpr("doc_id", "ids", "decoded <=> text as round_trip")
+    return pieces.encode_checked(table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
