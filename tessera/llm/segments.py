@@ -31,7 +31,9 @@ K, LEVELS, BLOCK = 10, (2, 4, 8, 16), 2048
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    v = col(embedding).cast("array<double>")
+    v = col(embedding)
+    if vectors.schema[embedding].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
     rows = vectors.select(col(vec_id).cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity'))")
     usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
     return rows.join(F.broadcast(usual), F.size("v") == F.col("d")).select("id", "v").distinct()
@@ -50,36 +52,40 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def nearest(q_id: np.ndarray, q: np.ndarray, d_id: np.ndarray, d: np.ndarray, k: int, bound: np.ndarray, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query place, data place, squared distance) of each query's up to k nearest in d within its bound."""
-    coarse = [(statistics(q, s), statistics(d, s)) for s in levels]
-    # rounding of the expanded squares must not prune a true neighbour
-    slack = 1e-9 * (1 + (q * q).sum(1).max(initial=0) + (d * d).sum(1).max(initial=0))
+    q, d = q.astype(np.float64), d.astype(np.float64)
+    levels_of = [(statistics(q, s).astype(np.float32), statistics(d, s).astype(np.float32)) for s in levels]
+    q32, d32 = q.astype(np.float32), d.astype(np.float32)
+    # bounds are taken in single precision: its rounding must not prune a true neighbour
+    slack = 1e-5 * (1 + (q * q).sum(1).max(initial=0) + (d * d).sum(1).max(initial=0))
     qs, ds, dist = [], [], []
     for lo in range(0, len(q), 256):
         rows = np.arange(lo, min(lo + 256, len(q)))
-        limit = bound[rows] + slack
-        live = np.arange(len(d))
-        for a, b in coarse:  # a column lives while some row of the tile may need it
-            near = squared(a[rows], b[live]) <= limit[:, None]
-            live = live[near.any(axis=0)]
-            if not len(live):
+        limit = (bound[rows] + slack).astype(np.float32)[:, None]
+        live, fine = np.arange(len(d)), len(levels_of) - 1
+        level = 0
+        while True:  # a column lives while some row of the tile may need it
+            a, b = levels_of[level]
+            near = squared(a[rows], b[live]) <= limit
+            some = near.any(axis=0)
+            kept = some.mean() if len(some) else 0.0
+            live, near = live[some], near[:, some]
+            if level == fine or not len(live):
                 break
+            level = level + 1 if kept < 0.9 else fine  # a level that spares little is followed by the finest
         if not len(live):
             continue
-        near = squared(coarse[-1][0][rows], coarse[-1][1][live]) <= limit[:, None]
         near &= q_id[rows][:, None] != d_id[live][None, :]
+        rough = squared(q32[rows], d32[live])
+        rough[~near] = np.inf
+        if k < len(live):
+            near &= rough <= np.minimum(np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + np.float32(2 * slack), limit)
         x, y = np.nonzero(near)
-        if len(x) > 1 << 20:  # too many to take the rows apart: the product is only a filter, kept distances are exact
-            rough = np.where(near, squared(q[rows], d[live]), np.inf)
-            if k < len(live):
-                kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-                near &= rough <= np.minimum(kth, bound[rows])[:, None] + slack
-            x, y = np.nonzero(near)
         gap = q[rows[x]] - d[live[y]]
         exact = np.einsum("ij,ij->i", gap, gap)
         order = np.lexsort((d_id[live[y]], exact, x))
         x, y, exact = x[order], y[order], exact[order]
         rank = np.arange(len(x)) - np.searchsorted(x, x)
-        ok = (rank < k) & (exact <= bound[rows[x]] + slack)
+        ok = (rank < k) & (exact <= bound[rows[x]] * (1 + 1e-12))
         qs.append(rows[x[ok]])
         ds.append(live[y[ok]])
         dist.append(exact[ok])
@@ -123,7 +129,7 @@ def _own(k: int, levels: tuple[int, ...]):
 def _boxes(finest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            s = statistics(matrix(t.column("v")), finest)
+            s = statistics(matrix(t.column("v")).astype(np.float64), finest)
             yield pa.RecordBatch.from_arrays([t.column("block").combine_chunks().slice(0, 1), pa.array([s.min(0).tolist()]), pa.array([s.max(0).tolist()])], names=["block", "lo", "hi"])
 
     return run
@@ -136,7 +142,7 @@ def _routes(blocks: np.ndarray, low: np.ndarray, high: np.ndarray, finest: int):
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
-                v = matrix(part.column(3))
+                v = matrix(part.column(3)).astype(np.float64)
                 s = statistics(v, finest)
                 gap = np.zeros((len(s), len(blocks)))
                 for c in range(s.shape[1]):
@@ -176,6 +182,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, levels: tuple[int, ...] =
     n = rows.count()
     if n < 2:
         return spark.createDataFrame([], kind)
+    kind_of_v = rows.schema["v"].dataType.simpleString()
     # a grid over mean and deviation: strips by mean, cells by deviation, about ``block`` rows each
     side = max(1, round((n / block) ** 0.5))
     probs = [x / side for x in range(1, side)]
@@ -194,7 +201,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, levels: tuple[int, ...] =
     boxes = by_block.select("block", "v").mapInArrow(_boxes(levels[-1]), "block long, lo array<double>, hi array<double>").toPandas()
     bounds = first.groupBy("row").agg(F.when(F.count("*") >= k, F.max("d2")).alias("bound"))
     asking = rows.join(bounds, "row", "left").selectExpr("row", "block", "id", "v", "coalesce(bound, double('Infinity')) as bound")
-    routed = asking.mapInArrow(_routes(boxes.block.to_numpy(), np.array(boxes.lo.tolist()), np.array(boxes.hi.tolist()), levels[-1]), "block long, row long, id long, v array<double>, bound double")
+    routed = asking.mapInArrow(_routes(boxes.block.to_numpy(), np.array(boxes.lo.tolist()), np.array(boxes.hi.tolist()), levels[-1]), f"block long, row long, id long, v {kind_of_v}, bound double")
     both = rows.selectExpr("block", "row", "id", "v", "cast(null as double) as bound").unionByName(routed)
     second = both.repartition("block").sortWithinPartitions("block", F.col("bound").isNotNull()).mapInArrow(_others(k, levels), _FOUND)
     best = Window.partitionBy("row").orderBy("d2", "neighbour")
