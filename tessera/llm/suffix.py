@@ -344,7 +344,8 @@ def sorted_suffixes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, d
     starts = held.select("rk", "text", "runs").mapInArrow(_starts(least), "h long, prev long, rk long, i int, r int")
     gram = Window.partitionBy("h")
     tested = starts.select("*", F.count("*").over(gram).alias("c"), F.count("prev").over(gram).alias("p"), F.min("prev").over(gram).alias("a"), F.max("prev").over(gram).alias("b")).where("c > 1 and (p < c or a <> b)")
-    by_doc = tested.groupBy("rk").agg(F.collect_list(F.struct("i", "r", "h", "prev")).alias("starts"))
+    # a table of its own, so that the shuffle of all tested starts is gone before suffixes are shuffled
+    by_doc = stage(tested.groupBy("rk").agg(F.collect_list(F.struct("i", "r", "h", "prev")).alias("starts")), "starts")
     rows = held.join(by_doc, "rk").select("rk", "doc_id", "text", "starts").mapInArrow(_suffixes(least), "h long, suffix binary, doc_id long, rk long, i int, prev long")
     return held, rows.repartition("h").sortWithinPartitions("h", "suffix", "doc_id", "i")
 
