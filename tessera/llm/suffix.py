@@ -347,7 +347,9 @@ def sorted_suffixes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, d
     # a table of its own, so that the shuffle of all tested starts is gone before suffixes are shuffled
     by_doc = stage(tested.groupBy("rk").agg(F.collect_list(F.struct("i", "r", "h", "prev")).alias("starts")), "starts")
     rows = held.join(by_doc, "rk").select("rk", "doc_id", "text", "starts").mapInArrow(_suffixes(least), "h long, suffix binary, doc_id long, rk long, i int, prev long")
-    return held, rows.repartition("h").sortWithinPartitions("h", "suffix", "doc_id", "i")
+    # suffixes are long rows: more and smaller partitions keep a task's sort in little memory
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return held, rows.repartition(parts, "h").sortWithinPartitions("h", "suffix", "doc_id", "i")
 
 
 def repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
