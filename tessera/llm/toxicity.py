@@ -1,13 +1,15 @@
 """Toxicity by compression distance (operator 6).
 
-Two zstandard dictionaries are trained, one on ordinary labelled text, one on toxic text. A window is one word with
-its blanks (lower case), set in a fixed frame that both dictionaries end with, for zstandard matches nothing in the
-last eight bytes of a block. A window's gain is its compressed length with the ordinary dictionary less that with the
-toxic one; a text is toxic when enough of its windows gain enough. Both limits are calibrated on labelled texts that
-the dictionaries haven't seen. As most of a toxic text is ordinary prose, its dictionary is trained on the windows
-that set toxic texts apart: words of document share p in toxic and q in ordinary texts with p ln(p/q) of at least
-``contrast`` of the greatest. Windows wider than a word were tried: the chance matches of ordinary words outweigh the
-few bytes that a toxic word saves.
+Two zstandard dictionaries are made: one trained on ordinary labelled text, and the same followed by what sets toxic
+texts apart. A window is one word with its blanks (lower case), set in a fixed frame that both dictionaries end with,
+for zstandard matches nothing in the last eight bytes of a block. A window's gain is its compressed length with the
+ordinary dictionary less that with the toxic one; a text is toxic when enough of its windows gain enough. Both limits
+are calibrated on labelled texts that the dictionaries haven't seen. As most of a toxic text is ordinary prose, the
+telling part holds words and beginnings of words (4 to 16 characters) that more toxic than ordinary texts have, at
+all or three times, with a log-likelihood ratio of at least ``contrast``: an absolute test of each, so that a rare
+language's words aren't held against a frequent one's. Ordinary text with such words stays out of the ordinary
+dictionary. Windows wider than a word were tried: the chance matches of ordinary words outweigh the few bytes that a
+toxic word saves.
 
 The fit uses at most ``most_toxic`` and ``most_ordinary`` labelled texts and ``most_bytes`` of each class, in the order
 of a hash of doc_id; every text is scored, whole.
@@ -20,6 +22,7 @@ null; extra columns pass through, whatever their names; an empty table gives an
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,10 +36,12 @@ from pyspark.sql import functions as F
 from .blocks import SPACE, chunks, text_buffers
 from .common import col, fresh
 
-MOST_TOXIC, MOST_ORDINARY, MOST_BYTES, CONTRAST = 1500, 3000, 16 << 20, 0.25
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 16_384, 4096, 3
+MOST_TOXIC, MOST_ORDINARY, MOST_BYTES, CONTRAST = 1500, 3000, 16 << 20, 24.0
+# the level and the least match are such that a dictionary is searched at every position: lower levels index each third
+ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 16_384, 4096, 6
 _BEFORE, _AFTER = b"the quick window opens here: ", b"\nand closes here."
 _MOST_WORDS = 300_000
+_SHORTEST, _LONGEST, _TIMES = 4, 16, (1, 3)
 _BLANKS = np.where(SPACE, 32, np.arange(256)).astype(np.uint8)
 
 
@@ -60,7 +65,7 @@ class Model:
         if self._tools is None:
             made = []
             for content in (self.ordinary, self.toxic):
-                how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=64, dict_size=ORDINARY_BYTES, min_match=4, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+                how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=64, dict_size=2 * ORDINARY_BYTES, min_match=5, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
                 d = zstandard.ZstdCompressionDict(content + _AFTER + _BEFORE, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=how)
                 made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
@@ -113,11 +118,51 @@ class Model:
         return (hits >= self.hits) & (hits >= self.rate * total)
 
 
-def contrast_terms(toxic: list[str], ordinary: list[str], contrast: float = CONTRAST) -> set[str]:
-    p, q = Counter(w for t in toxic for w in set(t.split())), Counter(w for t in ordinary for w in set(t.split()))
-    score = {w: c / len(toxic) * math.log((c / len(toxic)) / ((q[w] + 0.5) / len(ordinary))) for w, c in p.items()}
-    top = max(score.values(), default=0.0)
-    return {w for w, s in score.items() if top > 0 and s >= contrast * top}
+def beginnings(text: str) -> set[tuple[str, int]]:
+    """Its words, each closed by a blank, and their beginnings of 4 to 16 characters; with the 3, once more if it has them three times."""
+    n = Counter()
+    for w, c in Counter(text.split()).items():
+        n[w + " "] += c
+        for k in range(_SHORTEST, min(len(w), _LONGEST) + 1):
+            n[w[:k]] += c
+    return {(w, least) for w, c in n.items() for least in _TIMES if c >= least}
+
+
+def evidence(p: int, n: int, q: int, m: int) -> float:
+    """Log-likelihood ratio (G squared) of p of n against q of m documents; 0 unless the first share is greater."""
+    if p * m <= q * n:
+        return 0.0
+    return 2 * sum(x * math.log(x * (n + m) / (side * both)) for x, side, both in ((p, n, p + q), (n - p, n, n + m - p - q), (q, m, p + q), (m - q, m, n + m - p - q)) if x)
+
+
+def contrast_terms(toxic: list[str], ordinary: list[str], contrast: float = CONTRAST) -> list[str]:
+    """Words and beginnings of words that set toxic texts apart, the strongest first.
+
+    Each is tested by itself, so the words of a rare language needn't match the best word of a frequent one.
+    """
+    n, m = len(toxic), len(ordinary)
+    p = {x: c for x, c in Counter(x for t in toxic for x in beginnings(t)).items() if evidence(c, n, 0, m) >= contrast}
+    q = Counter(x for t in ordinary for x in beginnings(t) if x in p)
+    score: dict[str, float] = {}
+    for x, c in p.items():
+        if (s := evidence(c, n, q[x], m)) >= contrast:
+            score[x[0]] = max(s, score.get(x[0], 0.0))
+    kept: dict[str, None] = {}
+    # of equals the longest: the shorter ones say the same with fewer bytes to match
+    for w in sorted(score, key=lambda w: (-score[w], -len(w), w)):
+        same = next((k for k in kept if k.startswith(w) and score[k] == score[w]), None)
+        if same is None and not any(w[:k] in kept for k in range(_SHORTEST, len(w))):
+            kept[w] = None
+    return list(kept)
+
+
+def pieces(text: str) -> Iterator[bytes]:
+    """64 characters of every 192, from a word's begin unless that lies far back."""
+    t = " " + " ".join(text.split())
+    for i in range(0, max(1, len(t) - 63), 192):
+        at = t.rfind(" ", max(0, i - 64), i + 1)
+        at = i if at < 0 else at
+        yield t[at : at + 64].encode()
 
 
 def train(toxic: list[str], ordinary: list[str], contrast: float = CONTRAST) -> tuple[bytes, bytes]:
@@ -130,12 +175,19 @@ def train(toxic: list[str], ordinary: list[str], contrast: float = CONTRAST) ->
             return b"".join(dict.fromkeys(samples))[-size:]
 
     terms = contrast_terms(toxic, ordinary, contrast)
-    plain = [t[i : i + 64].encode() for t in ordinary for i in range(0, max(1, len(t) - 63), 192)][:40_000]
-    telling = [f" {w} ".encode() for t in toxic for w in t.split() if w in terms]
+    known = set(terms)
+    plain = [b for t in ordinary for b in pieces(t)][:40_000]
+    # ordinary texts hold a few telling words too; in their dictionary, these would hide the gain
+    mark = re.compile(r"(?<!\S)(?:" + "|".join(re.escape(w.rstrip()) + (r"(?!\S)" if w[-1] == " " else "") for w in terms) + ")") if terms else None
+    if mark:
+        plain = [b for b in plain if not mark.search(b.decode())] or plain
+    telling = [f" {w}".encode() for t in toxic for w, _ in sorted(beginnings(t)) if w in known]
     # every telling word must be in the dictionary, so the trained content is followed by what it left out
     trained = dictionary(telling * 3, TOXIC_BYTES)
-    rest = b"".join(f" {w} ".encode() for w in sorted(terms) if f" {w} ".encode() not in trained)[:ORDINARY_BYTES]
-    return dictionary(plain, ORDINARY_BYTES), trained + rest
+    rest = b"".join(f" {w}".encode() for w in terms if f" {w}".encode() not in trained)[:ORDINARY_BYTES]
+    base = dictionary(plain, ORDINARY_BYTES)
+    # what both hold costs the same with both, so only telling bytes can gain
+    return base, base + trained + rest
 
 
 def calibrate(model: Model, toxic: list[str], ordinary: list[str]) -> Model:
@@ -148,7 +200,7 @@ def calibrate(model: Model, toxic: list[str], ordinary: list[str]) -> Model:
     for gain in range(1, 25):
         hits = np.diff(np.concatenate([[0], np.cumsum(g >= gain)])[cut])
         for least in range(1, 9):
-            for rate in (0.0, 0.001, 0.002, 0.004, 0.008):
+            for rate in (0.0, 0.001, 0.002, 0.004, 0.006, 0.008, 0.01, 0.012, 0.016, 0.024, 0.032):
                 found = (hits >= least) & (hits >= rate * total)
                 # a false alarm weighs more than a miss: clean text is the rule
                 value = found[truth == 1].mean() - 3 * found[truth == 0].mean()

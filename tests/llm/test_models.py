@@ -7,6 +7,7 @@ import struct
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -173,6 +174,29 @@ def test_toxicity_on_held_out_texts(spark):
     assert np.mean([r.toxic for r in got if r.doc_id % 3]) < 0.05
 
 
+def test_toxicity_of_a_rare_language():
+    """A frequent language with clear toxic words, and a rare one whose toxic texts only repeat a beginning of words."""
+    r = random.Random(5)
+
+    def text(lang, toxic):
+        words = [f"{lang}{r.randrange(300):03d}" for _ in range(120)]
+        for _ in range(4 if toxic else 0):
+            words.insert(r.randrange(120), r.choice(["wretch", "scoundrel", "rotten"]) if lang == "w" else "grumbel" + "".join(r.choices("aeiostr", k=4)))
+        return " ".join(words)
+
+    def sample(n):
+        return [text("w", True) for _ in range(6 * n)] + [text("é", True) for _ in range(n)], [text("w", False) for _ in range(20 * n)] + [text("é", False) for _ in range(6 * n)]
+
+    ordinary, toxic = toxicity.train(*sample(20))
+    model = toxicity.calibrate(toxicity.Model(ordinary, toxic), *sample(10))
+
+    def share(texts):
+        return model.verdicts(*model.counts(pa.array(texts), model.gain)).mean()
+
+    assert share([text("é", True) for _ in range(40)]) > 0.9 and share([text("w", True) for _ in range(40)]) > 0.9
+    assert share([text("é", False) for _ in range(40)] + [text("w", False) for _ in range(40)]) < 0.05
+
+
 def slow_ctw(texts, depth):
     """Context-tree weighting straight from its definition."""
     counts = defaultdict(lambda: [0, 0])
