@@ -128,12 +128,12 @@ def bigram_table(spark, d):
 
 @query()
 def near_duplicate_filter(spark, d):
-    """Greedy keep-first by 64-bit fingerprints within 3 bits. The hash isn't the SQL engine's: tested by brute force."""
+    """Greedy keep-first by 64-bit fingerprints within 6 bits, the reference's default. The hash isn't the SQL engine's: tested by brute force."""
     spark.sparkContext.getCheckpointDir() or _local_checkpoints(spark)
     docs = read(spark, d, "documents")
     f = words(docs).select("doc_id", F.lower("form").alias("s"))
     prints = curate.simhash(f, "doc_id", "s")
-    return curate.near_duplicates(prints, "doc_id", "fingerprint", 3).select("doc_id")
+    return curate.near_duplicates(prints, "doc_id", "fingerprint", 6).select("doc_id")
 
 
 def _local_checkpoints(spark) -> None:

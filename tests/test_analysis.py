@@ -178,3 +178,39 @@ def test_greedy_near_duplicates_match_their_definition(spark):
                 kept.append(k)
         spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
         assert sorted(x.k for x in curate.near_duplicates(df, "k", "f", most).collect()) == kept
+
+
+def test_the_registered_near_duplicate_filter_takes_six_bits(spark):
+    from tessera.operators import curate
+    from tessera.plans import mining
+    from tessera.plans.relational import read, words
+
+    d = "/root/testdata/sf0.001"
+    prints = curate.simhash(words(read(spark, d, "documents")).select("doc_id", F.lower("form").alias("s")), "doc_id", "s").collect()
+    kept = {}
+    for k, f in sorted((r.doc_id, r.fingerprint & (1 << 64) - 1) for r in prints):
+        if all((f ^ g).bit_count() > 6 for g in kept.values()):
+            kept[k] = f
+    assert sorted(r.doc_id for r in mining.near_duplicate_filter(spark, d).collect()) == sorted(kept)
+
+
+@pytest.mark.parametrize("most", [0, 6, 15])
+def test_bands_find_all_pairs(spark, most):
+    import random
+
+    from tessera.operators import curate
+
+    r = random.Random(most)
+    rows = [(0, 0)]
+    for k in range(1, 60):
+        f = r.choice(rows)[1]
+        for b in r.sample(range(64), r.choice([0, most, most + 1])):
+            f ^= 1 << b
+        rows.append((k, f))
+    kept = []
+    for k, f in rows:
+        if all((f ^ g).bit_count() > most for _, g in kept):
+            kept.append((k, f))
+    df = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in rows], "k long, f long")
+    spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    assert sorted(x.k for x in curate.near_duplicates(df, "k", "f", most).collect()) == [k for k, _ in kept]
