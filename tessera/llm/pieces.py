@@ -19,8 +19,10 @@ decode as nothing; extra columns pass through.
 from __future__ import annotations
 
 import codecs
+import math
 from collections.abc import Iterator
-from itertools import pairwise
+from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from .common import col
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_MOST_WORDS, _MOST_PAIRS = 200_000, 200_000
+_MOST_WORDS, _MOST_PAIRS, _MOST_STEPS = 300_000, 400_000, 400_000
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -91,37 +93,89 @@ class Pieces:
         self.ids = {s: k for k, (s, kind) in enumerate(zip(self.strings, self.kinds)) if kind in (NORMAL,)}
         if any(MARK in s.lstrip(MARK) for s in self.ids):
             raise ValueError("a piece has a mark after another character")
-        self.own = {s: s for s in self.ids}  # one string object per piece, however often it is met
         self.scores = {s: scores[k] for s, k in self.ids.items()}
         self.byte_ids = {int(s[3:5], 16): k for k, (s, kind) in enumerate(zip(self.strings, self.kinds)) if kind == BYTE}
         self.longest = max(map(len, self.ids), default=1)
         self.missing = min(self.scores.values(), default=0.0) - 10.0
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.start: dict | None = None
 
     def merge(self, word: str) -> list[str]:
         """Plain BPE: again and again the adjacent pair of best score, the leftmost of equals."""
-        parts = list(word)
-        scores = self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = scores.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, get = list(word), self.scores.get
+        none = -math.inf
+        pairs = [get(a + b, none) for a, b in pairwise(parts)]
+        while pairs and (best := max(pairs)) != none:
+            k = pairs.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = get(parts[k - 1] + parts[k], none)
+            if k < len(pairs):
+                pairs[k] = get(parts[k] + parts[k + 1], none)
         return parts
 
-    def stays(self, a: str, b: str) -> bool:
-        """Whether merging a + b gives these two pieces."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > _MOST_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[self.own.get(a, a), self.own.get(b, b)] = self.merge(a + b) == [a, b]
+    def automaton(self) -> dict:
+        """The start state of a machine that reads words and knows which pieces end at each place.
+
+        A state is a dictionary of the next states by character; besides, at 0 the state of its longest proper suffix
+        and at 1 the pieces that end here, the longest first, as (characters, id).
+        """
+        if self.start is None:
+            start: dict = {0: None, 1: ()}
+            for piece, k in self.ids.items():
+                state = start
+                for ch in piece:
+                    state = state.setdefault(ch, {1: ()})
+                state[1] = ((len(piece), k),)
+            level = [start]
+            while level:
+                below = []
+                for state in level:
+                    for ch in [c for c in state if c.__class__ is str]:
+                        after, up = state[ch], state[0]
+                        while up is not None and ch not in up:
+                            up = up[0]
+                        after[0] = start if up is None else up[ch]
+                        after[1] += after[0][1]
+                        below.append(after)
+                level = below
+            # numbers of what has no piece follow the vocabulary's
+            self.sizes = [len(s) for s in self.strings]
+            self.odd: dict[str, int] = {}
+            self.names = list(self.strings)
+            self.pairs: dict[int, bool] = {}
+            self.known_steps = 0
+            self.start = start
+        return self.start
+
+    def step(self, state: dict, ch: str) -> dict:
+        """The state after ``ch`` where the trie has none, kept for the next time."""
+        up = state[0]
+        while up is not None and ch not in up:
+            up = up[0]
+        after = self.start if up is None else up[ch]
+        if up is not None and self.known_steps < _MOST_STEPS:
+            self.known_steps += 1
+            state[ch] = after
+        return after
+
+    def stays(self, a: int, b: int, key: int) -> bool:
+        """Whether merging the pieces a + b gives these two."""
+        if len(self.pairs) > _MOST_PAIRS:
+            self.pairs.clear()
+        one, two = self.names[a], self.names[b]
+        found = self.pairs[key] = self.merge(one + two) == [one, two]
         return found
 
+    def odd_one(self, ch: str) -> int:
+        """The number of a character without a piece."""
+        k = self.odd.get(ch)
+        if k is None:
+            k = self.odd[ch] = len(self.names)
+            self.names.append(ch)
+            self.sizes.append(1)
+        return k
+
     def to_ids(self, parts: list[str]) -> list[int]:
         out: list[int] = []
         for p in parts:
@@ -134,34 +188,44 @@ class Pieces:
         return self._bpe(words) if self.bpe else self._unigram(words)
 
     def _bpe(self, words: list[str]) -> list[list[int]]:
-        ids, longest, stays, pairs = self.ids, self.longest, self.stays, self.pairs
-        last: list[str] = [""]  # last piece of each prefix of the word
+        start, step, stays, odd_one, names, sizes = self.automaton(), self.step, self.stays, self.odd_one, self.names, self.sizes
+        n_pieces, pairs = len(self.strings), self.pairs
+        states, last = [start], [0]  # of each prefix of the word: the machine's state and the last piece
         before, out = "", []
         for word in words:
             if word[:2] == MARK * 2:  # runs of marks have equal scores, and so an order of their own
                 out.append(self.to_ids(self.merge(word)))
                 continue
             n = len(word)
-            k, most = 0, min(n, len(before), len(last) - 1)
+            k, most = 0, min(n, len(before))
             while k < most and word[k] == before[k]:
                 k += 1
-            del last[k + 1 :]
-            for i in range(k + 1, n + 1):
-                for j in range(max(0, i - longest), i):
-                    piece = word[j:i]
-                    if piece in ids or i - j == 1:
-                        if j == 0:
-                            break
-                        known = pairs.get((last[j], piece))
-                        if known or (known is None and stays(last[j], piece)):
-                            break
+            del last[k + 1 :], states[k + 1 :]
+            state, i = states[k], k
+            for ch in word[k:]:
+                i += 1
+                state = state.get(ch) or step(state, ch)
+                piece = -1
+                for size, piece in state[1]:
+                    if size == i:
+                        break
+                    key = last[i - size] << 32 | piece
+                    known = pairs.get(key)
+                    if known or (known is None and stays(last[i - size], piece, key)):
+                        break
+                else:
+                    if piece < 0 or size > 1:
+                        piece = odd_one(ch)
                 last.append(piece)
+                states.append(state)
             before = word
-            parts, i = [], n
+            parts = []
             while i:
-                parts.append(last[i])
-                i -= len(last[i])
-            out.append(self.to_ids(parts[::-1]))
+                piece = last[i]
+                parts.append(piece)
+                i -= sizes[piece]
+            parts.reverse()
+            out.append(parts if max(parts) < n_pieces else self.to_ids([names[p] for p in parts]))
         return out
 
     def _unigram(self, words: list[str]) -> list[list[int]]:
@@ -192,8 +256,14 @@ class Pieces:
         return out
 
 
+@lru_cache(maxsize=1)
+def loaded(data: bytes) -> Pieces:
+    """The model, read once by each Python worker."""
+    return Pieces(data)
+
+
 class Encoder:
-    """Pieces with a bounded table of words met before."""
+    """Pieces with a bounded table of words met before, and how often."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -203,22 +273,38 @@ class Encoder:
         self.rows: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.int32)
         self.at = np.zeros(1, np.int64)
-
-    def lookup(self, words: list[bytes]) -> np.ndarray:
+        self.used = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keep the half of the table that texts used most, lately above all."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: _MOST_WORDS // 2])
+        words = list(self.rows)
+        self.rows = {words[k]: n for n, k in enumerate(keep.tolist())}
+        size = np.diff(self.at)[keep]
+        at = np.concatenate([[0], np.cumsum(size)])
+        self.flat = self.flat[np.repeat(self.at[keep] - at[:-1], size) + np.arange(at[-1])]
+        self.at, self.used = at, self.used[keep] // 2
+
+    def lookup(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
         """Row of each distinct word in the table, which gets the new ones."""
+        new = [w for w in words if w not in self.rows]
+        if new and len(self.rows) + len(new) > _MOST_WORDS:
+            self.forget()
+            if len(self.rows) + len(new) > 2 * _MOST_WORDS:
+                self.clear()
+            new = [w for w in words if w not in self.rows]
         rows = self.rows
-        new = [w for w in words if w not in rows]
         if new:
-            if len(rows) + len(new) > _MOST_WORDS:
-                self.clear()
-                rows, new = self.rows, list(words)
             new.sort()
             ids = self.pieces.encode_sorted([w.decode().replace(" ", MARK) for w in new])
             rows.update(zip(new, range(len(rows), len(rows) + len(new))))
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.int32, int(size.sum()))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-        return np.fromiter((rows[w] for w in words), np.int64, len(words))
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        found = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+        self.used[found] += times
+        return found
 
     def encode(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts whose leading mark is there already, as a blank, and where each text's ids begin."""
@@ -233,7 +319,8 @@ class Encoder:
         starts = np.flatnonzero(head)
         offsets = np.append(starts, len(body)).astype(np.int32)
         words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))]).dictionary_encode()
-        rows = self.lookup(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        which = words.indices.to_numpy()
+        rows = self.lookup(words.dictionary.to_pylist(), np.bincount(which))[which]
         size = self.at[rows + 1] - self.at[rows]
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = self.flat[np.repeat(self.at[rows] - ends[:-1], size) + np.arange(ends[-1])]
@@ -279,7 +366,7 @@ def _encoded(data: bytes, check: bool):
     """key, marked text[, text] -> key, ids[, whether the ids decode to the text], a few MB of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Pieces(data))
+        encoder = Encoder(loaded(data))
         decoder = Decoder(encoder.pieces)
         for batch in batches:
             body, at = text_buffers(batch.column(1))
@@ -311,7 +398,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
     data = _read(model)
 
     def coded(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(Pieces(data))
+        encoder = Encoder(loaded(data))
         for column in columns:
             body, at = text_buffers(column)
             parts = [encoder.encode(body[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]) for lo, hi in chunks(at, 2 << 20)]
@@ -332,7 +419,7 @@ def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "d
     data = _read(model)
 
     def texts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decoder = Decoder(Pieces(data))
+        decoder = Decoder(loaded(data))
         for column in columns:
             cut = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
             own = column.flatten().to_numpy(zero_copy_only=False)
