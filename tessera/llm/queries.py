@@ -19,7 +19,7 @@ def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pivots.near_pairs(table(spark, sf_dir, "embeddings"))
+    return pivots.near_classes(table(spark, sf_dir, "embeddings"))
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
