@@ -73,36 +73,67 @@ def cloud(seed, n, groups, copies, dim=32):
     return v.astype(np.float32)
 
 
-def test_near_pairs_recall(spark):
+def test_near_links_recall(spark):
     v = np.concatenate([cloud(1, 1500, 20, 6), cloud(2, 0, 1, 400)])
+    v = np.concatenate([v, v[:5], v[-3:], 2 * v[-3:]])
     u = v.astype(float) / np.linalg.norm(v, axis=1, keepdims=True)
-    truth = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= pivots.SIMILAR, 1)))}
-    got = pivots.near_pairs(vectors(spark, [(k, x.tolist(), 0) for k, x in enumerate(v)]), block=150).collect()
-    found = {(r.id_a, r.id_b) for r in got}
-    assert len(found) == len(got) and found <= truth and len(found) >= 0.9 * len(truth) and len(truth) > 50_000
-    assert all(abs(r.cosine - u[r.id_a] @ u[r.id_b]) < 1e-5 for r in got[:500])
+    near = u @ u.T >= pivots.SIMILAR
+    links = near.sum(1) - 1
+    got = {r.vec_id: r for r in pivots.near_classes(vectors(spark, [(k, x.tolist(), 0) for k, x in enumerate(v)]), block=150).collect()}
+    assert sorted(got) == list(range(len(v))) and links.sum() > 100_000
+    assert all(got[k].n_links <= links[k] for k in got) and sum(r.n_links for r in got.values()) >= 0.9 * links.sum()
+    root = np.arange(len(v))  # the least id that chains of links lead to
+    for _ in range(len(v)):
+        new = np.where(near, root[None, :], len(v)).min(1)
+        if (new == root).all():
+            break
+        root = new
+    assert np.mean([got[k].class_id == root[k] for k in got]) >= 0.98
+    assert all(root[got[k].class_id] == root[k] for k in got)
+
+
+def test_shared_pivots_are_counted_alike():
+    r = np.random.default_rng(4)
+    for most, n in ((400, 300), (14, 300)):  # from lists, and where lists are as long as the block
+        p = np.sort(np.array([r.choice(most, 12, replace=False) for _ in range(n)]), axis=1).astype(np.int32)
+        count, early = pivots._shared_counts(p[:50], p, 6)
+        for a in range(50):
+            for b in range(0, n, 7):
+                both = set(p[a].tolist()) & set(p[b].tolist())
+                assert count[a, b] == len(both) and early[a, b] == any(x < 6 for x in both)
 
 
 ODD = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 0.0], 0), (4, [], 0), (5, None, 0), (6, [1.0, None], 0), (7, [float("nan"), 1.0], 0), (None, [1.0, 0.0], 0), (8, [1.0, 0.0, 0.0], 0), (9, [0.0, 2.0], None)]
 
 
 def test_vector_odd_cases(spark):
-    got = pivots.near_pairs(vectors(spark, ODD, extra=True)).collect()
-    assert [(r.id_a, r.id_b) for r in got] == [(1, 2)]
-    top = {(r.vec_id, r.rank): (r.neighbour_id, round(r.distance, 4)) for r in segments.nearest_neighbours(vectors(spark, ODD, extra=True), k=2).collect()}
+    got = sorted(tuple(r) for r in pivots.near_classes(vectors(spark, ODD, extra=True)).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (9, 9, 0)]
+    several = [(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.0], 0)]
+    assert sorted(tuple(r) for r in pivots.near_classes(vectors(spark, several)).collect()) == [(1, 1, 0), (1, 1, 2), (1, 1, 2), (2, 1, 2)]
+    top = {(r.vec_id, r.rank): (r.neighbour_id, round(r.distance, 4)) for r in segments.nearest_neighbours(vectors(spark, ODD, extra=True), k=2, every=1).collect()}
     assert top == {(1, 1): (2, 0.0), (1, 2): (3, 1.0), (2, 1): (1, 0.0), (2, 2): (3, 1.0), (3, 1): (1, 1.0), (3, 2): (2, 1.0), (9, 1): (3, 2.0), (9, 2): (1, 2.2361)}
-    assert pivots.near_pairs(vectors(spark, [])).count() == 0 and segments.nearest_neighbours(vectors(spark, [])).count() == 0
+    assert pivots.near_classes(vectors(spark, [])).count() == 0 and segments.nearest_neighbours(vectors(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("block", [64, 4096])
-def test_top_k_is_exact(spark, block):
-    v = np.concatenate([cloud(3, 700, 5, 8, 16), cloud(3, 20, 0, 0, 16)])
+def test_top_k_of_an_id_with_several_vectors(spark):
+    """Each vector of an id is a neighbour of its own, so ten near ones fill ten ranks."""
+    rows = [(0, [0.0, 0.0], 0)] + [(7, [0.1 * k, 0.0], 0) for k in range(1, 11)] + [(8, [5.0, 5.0], 0)]
+    got = [(r.neighbour_id, round(r.distance, 4)) for r in sorted(segments.nearest_neighbours(vectors(spark, rows), block=4).collect(), key=lambda r: r["rank"])]
+    assert got == [(7, round(0.1 * k, 4)) for k in range(1, 11)]
+
+
+@pytest.mark.parametrize(("block", "every"), [(64, 1), (4096, 7)])
+def test_top_k_is_exact(spark, block, every):
+    # the last 200 rows are equal, so that a leaf is cut by a hash
+    v = np.concatenate([cloud(3, 700, 5, 8, 16), cloud(3, 20, 0, 0, 16), np.repeat(cloud(5, 1, 0, 0, 16), 200, axis=0)])
     d = np.linalg.norm(v[:, None].astype(float) - v[None].astype(float), axis=2)
     np.fill_diagonal(d, np.inf)
     got = defaultdict(dict)
-    for r in segments.nearest_neighbours(vectors(spark, [(k, x.tolist(), 0) for k, x in enumerate(v)]), k=5, block=block).collect():
+    for r in segments.nearest_neighbours(vectors(spark, [(k, x.tolist(), 0) for k, x in enumerate(v)]), k=5, block=block, every=every).collect():
         got[r.vec_id][r.rank] = (r.neighbour_id, r.distance)
-    for q in range(len(v)):
+    assert sorted(got) == list(range(0, len(v), every))
+    for q in got:
         want = sorted((x, k) for k, x in enumerate(d[q]))[:5]
         assert [got[q][i + 1][0] for i in range(5)] == [k for _, k in want]
         assert np.allclose([got[q][i + 1][1] for i in range(5)], [x for x, _ in want])
