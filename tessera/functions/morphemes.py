@@ -62,17 +62,117 @@ def converged(candidates: Column) -> Column:
     return F.when(F.size(F.array_distinct(all_)) == 1, F.get(all_, F.lit(0)))
 
 
-def merged_derivations(ms: Column) -> Column:
-    """The 2025 convention: noun or root with a verbal suffix is a verb or adjective, with a listed noun suffix a noun."""
-    suffixes = "적 성 화 력 률 율 감 형 식 권 급 기 사 자 원".split()
+#: Noun suffixes that the 2025 convention writes with their noun.
+NOUN_SUFFIXES = "적 성 화 권 율 률 치 급 층 력 계 생 상 형 님 별".split()
+NOUNS = ("NNG", "NNP", "XR")
 
-    def step(acc: Column, m: Column) -> Column:
-        noun = _last(acc)["pos"].isin("NNG", "NNP", "XR")
-        tag = F.when(noun & (m["pos"] == "XSV"), "VV").when(noun & (m["pos"] == "XSA"), "VA").when(noun & (m["pos"] == "XSN") & m["form"].isin(*suffixes), "NNG")
-        became = F.when((m["form"] == "되") & (m["pos"] == "VX"), morpheme(m["form"], F.lit("VV"))).otherwise(m)
-        return F.when(tag.isNotNull(), F.concat(_but_last(acc), F.array(morpheme(F.concat(_last(acc)["form"], m["form"]), tag)))).otherwise(F.concat(acc, F.array(became)))
 
-    return F.aggregate(ms, F.array().cast(_EMPTY), step)
+def _pick(form: Column, pos: Column | str, takes_next: bool) -> Column:
+    return F.struct(form.alias("form"), (F.lit(pos) if isinstance(pos, str) else pos).alias("pos"), F.lit(takes_next).alias("two"))
+
+
+def _quotes(w: Column | None, m: Column, nxt: Column) -> Column:
+    """Clauses for reported speech: an ending and its clitic, and quoting particles, are one ending."""
+    clitic = ((nxt["form"] == "고") & (nxt["pos"] == "JKQ")) | ((nxt["form"] == "며") & (nxt["pos"] == "EC")) | ((nxt["form"] == "는") & (nxt["pos"] == "ETM"))
+    quote = lambda forms: (m["pos"] == "JKQ") & m["form"].isin(*forms)
+    when = F.when if w is None else w.when
+    w = when((m["pos"] == "EF") & clitic, _pick(F.concat(m["form"], nxt["form"]), F.when(nxt["pos"] == "ETM", "ETM").otherwise("EC"), True))
+    w = w.when(quote(["라고", "이라고"]), _pick(F.lit("라고"), "EC", False))
+    for form, pos in (("며", "EC"), ("는", "ETM"), ("고", "EC")):
+        w = w.when(quote(["라", "이라"]) & (nxt["form"] == form) & (nxt["pos"] == pos), _pick(F.lit("라" + form), pos, True))
+    return w
+
+
+def _taken(ms: Column, pick) -> Column:
+    """From left to right, what ``pick`` makes of each morpheme and the next; a pair that became one is passed over."""
+    picks = F.transform(ms, lambda m, i: pick(m, F.get(ms, i + 1)))
+    start = F.struct(F.array().cast(_EMPTY).alias("out"), F.lit(False).alias("skip"))
+    step = lambda a, p: F.when(a["skip"], F.struct(a["out"].alias("out"), F.lit(False).alias("skip"))).otherwise(F.struct(F.concat(a["out"], F.array(morpheme(p["form"], p["pos"]))).alias("out"), p["two"].alias("skip")))
+    return F.aggregate(picks, start, step, lambda a: a["out"])
+
+
+def without_joints(ms: Column) -> Column:
+    """Compounds joined by '_' as their parts."""
+    return F.flatten(F.transform(ms, lambda m: F.transform(F.filter(F.split(m["form"], "_"), lambda x: (x != "") | ~m["form"].contains("_")), lambda x: morpheme(x, m["pos"]))))
+
+
+def merged_derivations(ms: Column) -> Column:
+    """The coarser 2025 convention: compounds apart; noun or root and a verbal suffix are one verb or adjective, with a
+    listed noun suffix one noun; auxiliary 되 is a verb; reported speech is one ending. Each morpheme is used once."""
+
+    def pick(m: Column, nxt: Column) -> Column:
+        noun = m["pos"].isin(*NOUNS)
+        both = F.concat(m["form"], nxt["form"])
+        w = F.when(noun & nxt["pos"].isin("XSV", "XSA"), _pick(both, F.when(nxt["pos"] == "XSV", "VV").otherwise("VA"), True)).when((m["form"] == "되") & (m["pos"] == "VX"), _pick(m["form"], "VV", False))
+        w = w.when(noun & (nxt["pos"] == "XSN") & nxt["form"].isin(*NOUN_SUFFIXES), _pick(both, "NNG", True))
+        return _quotes(w, m, nxt).otherwise(_pick(m["form"], m["pos"], False))
+
+    return _taken(without_joints(ms), pick)
+
+
+#: Verbal suffixes that may be cut off, the longest first.
+VERBALIZERS = ("시키", "당하", "받", "되", "하")
+
+
+def split_derivations(ms: Column, nouns: list[str], whole: list[str] = ()) -> Column:
+    """Back from the 2025 convention to the 2021 one: verbs made of a known noun and a verbal suffix come apart, but for
+    those in ``whole``; compounds of nouns come apart, other joints are dropped; reported speech becomes one ending."""
+    nominal = ("NNG", "NNP", "NNB", "NR", "SL", "SH", "SN")
+
+    def joints(m: Column) -> Column:
+        parts = F.filter(F.split(m["form"], "_"), lambda x: x != "")
+        return F.when(~m["form"].contains("_"), F.array(morpheme(m["form"], m["pos"]))).when(m["pos"].isin(*nominal) & (F.size(parts) >= 2), F.transform(parts, lambda x: morpheme(x, m["pos"]))).otherwise(F.array(morpheme(F.replace(m["form"], F.lit("_"), F.lit("")), m["pos"])))
+
+    def apart(m: Column) -> Column:
+        w = F.when(~m["pos"].isin("VV", "VA") | m["form"].isin(*whole), F.array(morpheme(m["form"], m["pos"])))
+        for suffix in VERBALIZERS:
+            base = F.substring(m["form"], F.lit(1), F.length(m["form"]) - len(suffix))
+            w = w.when(m["form"].endswith(suffix) & (F.length(m["form"]) > len(suffix)) & base.isin(*nouns), F.array(morpheme(base, F.lit("NNG")), morpheme(F.lit(suffix), F.when(m["pos"] == "VA", "XSA").otherwise("XSV"))))
+        return w.otherwise(F.array(morpheme(m["form"], m["pos"])))
+
+    quoted = _taken(F.flatten(F.transform(ms, joints)), lambda m, nxt: _quotes(None, m, nxt).otherwise(_pick(m["form"], m["pos"], False)))
+    return F.flatten(F.transform(quoted, apart))
+
+
+def settled(ms: Column) -> Column:
+    """Conjoining letters as compatibility ones, and the endings that 하 takes: 였 and 여."""
+    plain = F.transform(ms, lambda m: morpheme(hangul.codas_to_compat(m["form"]), m["pos"]))
+    after = lambda i: (i > 0) & (F.get(plain, i - 1)["form"] == "하")
+    form = lambda m, i: F.when(after(i) & (m["pos"] == "EP") & m["form"].isin("았", "었", "였"), "였").when(after(i) & (m["pos"] == "EC") & m["form"].isin("아", "어", "여"), "여").otherwise(m["form"])
+    return F.transform(plain, lambda m, i: morpheme(form(m, i), m["pos"]))
+
+
+def leading_run(ms: Column, pos: str = "NNG") -> Column:
+    """The morphemes of one tag that an analysis begins with."""
+    other = F.array_position(F.transform(ms, lambda m: m["pos"] != pos), True).cast("int")
+    return F.when(other > 0, F.slice(ms, F.lit(1), other - 1)).otherwise(ms)
+
+
+def failure_signatures(gold: Column, pred: Column) -> Column:
+    """What sets a prediction apart from gold: the last tag, tags missing or extra, the number of morphemes."""
+    tags = lambda x: F.array_distinct(F.transform(x, lambda m: m["pos"]))
+    last = lambda x: F.coalesce(F.get(x, F.size(x) - 1)["pos"], F.lit(""))
+    named = lambda name, x: F.transform(x, lambda t: F.concat(F.lit(name + ": "), t))
+    one = lambda cond, text: F.when(cond, F.array(text)).otherwise(F.array().cast("array<string>"))
+    versus = lambda name, a, b: F.concat(F.lit(name + ": gold="), a.cast("string"), F.lit(" pred="), b.cast("string"))
+    found = F.concat(
+        one(last(gold) != last(pred), versus("last tag", last(gold), last(pred))), named("missing tag", F.array_except(tags(gold), tags(pred))), named("extra tag", F.array_except(tags(pred), tags(gold))),
+        one(F.size(gold) != F.size(pred), versus("morphemes", F.size(gold), F.size(pred))),
+    )
+    return F.when(F.size(gold) > 0, found).otherwise(F.array().cast("array<string>"))
+
+
+def syllable_labels(word: Column, ms: Column) -> Column:
+    """A B- or I- tag for each character of a word; where forms don't spell it, they get shares of its length."""
+    n, total = F.length(word), F.aggregate(ms, F.lit(0), lambda a, m: a + F.length(m["form"]))
+    exact = F.array_join(F.transform(ms, lambda m: m["form"]), "") == word
+    # halves to even
+    share = lambda m: F.when(exact, F.length(m["form"])).otherwise(F.greatest(F.lit(1), F.bround(F.length(m["form"]) / total * n).cast("int")))
+    labels = F.flatten(F.transform(ms, lambda m: F.transform(F.sequence(F.lit(1), F.greatest(share(m), F.lit(1))), lambda k: F.when(k > share(m), None).when(k == 1, F.concat(F.lit("B-"), m["pos"])).otherwise(F.concat(F.lit("I-"), m["pos"])))))
+    labels = F.slice(F.filter(labels, lambda x: x.isNotNull()), F.lit(1), F.greatest(n, F.lit(0)))
+    rest = F.concat(F.lit("I-"), F.get(ms, F.size(ms) - 1)["pos"])
+    full = F.concat(labels, F.array_repeat(rest, n - F.size(labels)))
+    return F.when((total == 0) | (F.size(ms) == 0), F.array_repeat(F.lit("O"), n)).otherwise(full)
 
 
 def fits_key(key: Column, ms: Column) -> Column:

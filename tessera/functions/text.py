@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import TAGS
+
 #: Tag of a character that no dictionary knows, tried in this order.
 _CLASSES = [
     ("SF", "[.!?]"),
@@ -51,6 +55,32 @@ def is_wiki_sentence(text: Column) -> Column:
     return (F.length(text) >= 20) & text.rlike("[.!?]$") & (hangul_ratio(text) >= 0.5)
 
 
+_EDGES = r"(?U)^\s+|\s+$"
+
+
+def segments(text: Column) -> Column:
+    """array<struct<text, start>>: trimmed sentences, and where each begins in the text, blanks included, in characters.
+
+    A sentence ends at terminators before white space and Hangul, a capital, a quote or an opening bracket.
+    """
+    cut = F.split(F.regexp_replace(text, r"(?U)([.!?…]\s+)(?=[가-힣A-Z\"'(\[{])", "$1\u0001"), "\u0001")
+    ends = F.aggregate(cut, F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.get(a, F.size(a) - 1) + F.length(s))))
+    rows = F.transform(cut, lambda s, i: F.struct(F.regexp_replace(s, _EDGES, "").alias("text"), F.get(ends, i).alias("start")))
+    kept = F.filter(rows, lambda r: r["text"] != "")
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.struct(F.regexp_replace(text, _EDGES, "").alias("text"), F.lit(0).alias("start"))))
+
+
+def composed(text: Column) -> Column:
+    """Unicode's composed form (NFC); Spark has no built-in for it."""
+
+    @F.arrow_udf("string")
+    def nfc(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in column.to_pylist()], pa.string())
+
+    # what is ASCII is composed already and never leaves the JVM
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(nfc(text))
+
+
 def sentences(text: Column) -> Column:
     """Trimmed parts after a terminator and a blank, or after a polite ending before Hangul."""
     parts = F.split(text, r"(?<=[.!?])\s+|(?<=[다요죠])\s+(?=[가-힣])")
@@ -91,3 +121,17 @@ def map_tag(tag: Column, table: dict[str, str], fallback: Column | None = None)
     return F.coalesce(F.element_at(keys, tag) if table else F.lit(None).cast("string"), tag if fallback is None else fallback)
 
 
+#: Tags of the nested corpora that the common set writes otherwise.
+CORPUS_TAGS = {"MMD": "MM", "MMN": "MM", "MMA": "MM", "NA": "NNG", "NAP": "NNG", "NF": "NNG", "NV": "VV"}
+
+
+def corpus_tag(tag: Column, listed: bool = True, by_letter: bool = True) -> Column:
+    """A corpus tag in the common set: as it is, listed, up to a hyphen, by its first letter, else SW."""
+    base = F.substring_index(tag, "-", 1)
+    w = F.when(tag.isin(*TAGS), tag)
+    for k, v in CORPUS_TAGS.items() if listed else ():
+        w = w.when(tag == k, v)
+    w = w.when(base.isin(*TAGS), base)
+    for k, v in zip("VNJEX", ("VV", "NNG", "JX", "EF", "XR")) if by_letter else ():
+        w = w.when(tag.startswith(k), v)
+    return w.otherwise("SW")

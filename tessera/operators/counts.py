@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import TAGS
+
 
 def tag_ngrams(tokens: DataFrame, sentence: str, order: str, pos: str) -> DataFrame:
     """(p1, p2, p3, n): counts of tag triples, each sentence with two BOS before and one EOS after.
@@ -19,11 +21,40 @@ def tag_ngrams(tokens: DataFrame, sentence: str, order: str, pos: str) -> DataFr
     return both.groupBy("g.p1", "g.p2", "g.p3").agg(F.count("*").alias("n"))
 
 
-def ngram_costs(grams: DataFrame) -> DataFrame:
-    """Smoothed negative logs: trigrams given their first two tags, bigrams out of all, add-one."""
-    pair = Window.partitionBy("p1", "p2")
-    kinds = grams.select(F.countDistinct("p3")).withColumnRenamed("count(DISTINCT p3)", "v")
-    return grams.crossJoin(F.broadcast(kinds)).select("p1", "p2", "p3", "n", (-F.log((F.col("n") + 1) / (F.sum("n").over(pair) + F.col("v")))).alias("cost"))
+def ngram_costs(grams: DataFrame, alpha: float = 0.01, n_tags: int = len(TAGS)) -> DataFrame:
+    """(p1, p2, p3, n, cost): smoothed negative logs, a trigram given its first two tags, a bigram (p3 null) out of all.
+
+    Grams with BOS or EOS are left out of the tables; those that go on to EOS do count for their first two tags.
+    """
+    inner = F.col("p1") != "BOS"
+    both = grams.where(inner & (F.col("p2") != "BOS")).select("p1", "p2", "p3", "n", F.sum("n").over(Window.partitionBy("p1", "p2")).alias("total"))
+    three = both.where("p3 <> 'EOS'").select("p1", "p2", "p3", "n", (F.col("n") + alpha) / (F.col("total") + alpha * n_tags))
+    two = grams.where("p2 <> 'BOS' and p3 <> 'EOS'").groupBy(F.col("p2").alias("p1"), F.col("p3").alias("p2")).agg(F.sum("n").alias("n"))
+    total = F.broadcast(two.agg(F.sum("n").alias("total")))
+    two = two.crossJoin(total).select("p1", "p2", F.lit(None).cast("string").alias("p3"), "n", (F.col("n") + alpha) / (F.col("total") + alpha * n_tags))
+    costs = three.toDF("p1", "p2", "p3", "n", "p").union(two.toDF("p1", "p2", "p3", "n", "p"))
+    return costs.select("p1", "p2", "p3", "n", F.round(-F.log(F.greatest("p", F.lit(1e-10))), 4).alias("cost"))
+
+
+def suffix_patterns(tokens: DataFrame, sentence: str, order: str, form: str, functional: Column, content: Column, longest: int = 10) -> DataFrame:
+    """(surface, kind, n): how often functional morphemes occur alone, as maximal runs, as beginnings of the runs after a
+    content word, and as such a word with its run, of at most ``longest`` characters.
+
+    Runs are numbered by one window over the sentence; a row then knows its run and whether a content word leads it.
+    """
+    w = Window.partitionBy(sentence).orderBy(order)
+    marked = tokens.select(sentence, order, form, functional.alias("_f"), content.alias("_c"))
+    first = F.col("_f") & ~F.coalesce(F.lag("_f").over(w), F.lit(False))
+    marked = marked.withColumns({"_run": F.sum(F.when(first, 1).otherwise(0)).over(w), "_lead": F.when(first & F.lag("_c").over(w), F.lag(form).over(w))})
+    runs = marked.where("_f").groupBy(sentence, "_run").agg(F.array_sort(F.collect_list(F.struct(order, form))).alias("m"), F.max("_lead").alias("lead"))
+    forms = runs.select("lead", F.transform("m", lambda x: x[form]).alias("m"))
+    joined = lambda x: F.array_join(x, "")
+    row = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("surface"))
+    single = F.transform("m", lambda x: row("single", x))
+    prefixes = F.when(F.col("lead").isNotNull(), F.transform(F.sequence(F.lit(1), F.size("m")), lambda k: row("after content", joined(F.slice("m", F.lit(1), k))))).otherwise(F.array().cast("array<struct<kind:string,surface:string>>"))
+    span = F.concat("lead", joined(F.col("m")))
+    spans = F.when(F.col("lead").isNotNull() & (F.length(span) <= longest), F.array(row("span", span))).otherwise(F.array().cast("array<struct<kind:string,surface:string>>"))
+    return forms.select(F.inline(F.concat(single, F.array(row("run", joined(F.col("m")))), prefixes, spans))).groupBy("surface", "kind").agg(F.count("*").alias("n"))
 
 
 def top_reading(counts: DataFrame, key: str, value: str, n: str, least: int = 1, share: float = 0.0) -> DataFrame:

@@ -56,33 +56,6 @@ def analyze_pos_counts(spark, d):
     return rows.groupBy("pos").agg(F.count("*").alias("n"), F.countDistinct("text").alias("forms"))
 
 
-@query(_values([(k, a) for k, _, a in SENTENCES], "id, analysis"))
-def analyze_tokens(spark, d):
-    a = api.Analyzer(seed_model()).analyze(F.col("sentence"))
-    return _sentences(spark).select("id", _shown(a["tokens"]).alias("analysis"))
-
-
-@query(_values([(k, " ".join(m.rsplit("/", 1)[0] for m in a.split() if m.rsplit("/", 1)[1] in ("NNG", "NNP"))) for k, _, a in SENTENCES], "id, nouns"))
-def nouns(spark, d):
-    a = api.Analyzer(seed_model()).analyze(F.col("sentence"))
-    return _sentences(spark).select("id", F.array_join(api.nouns(a["tokens"]), " ").alias("nouns"))
-
-
-@query(_values([(k, " ".join(f.lower() for f, t in (m.rsplit("/", 1) for m in a.split()) if t in api.SEARCH_TAGS and f != "물")) for k, _, a in SENTENCES], "id, terms"))
-def search_terms(spark, d):
-    a = api.Analyzer(seed_model()).analyze(F.col("sentence"))
-    return _sentences(spark).select("id", F.array_join(api.search_terms(a["tokens"], stop=("물",)), " ").alias("terms"))
-
-
-@query(_values([(1, "탄소/NNG 중립/NNG 목표/NNG", "탄소중립/NNP 목표/NNG", "탄소/NNG 중립/NNG 목표/NNG")], "id, before, with_words, crossing"))
-def user_words(spark, d):
-    """A user word wins, and never crosses a space."""
-    df = spark.createDataFrame([(1, "탄소중립 목표")], "id int, s string")
-    base = api.Analyzer(seed_model())
-    mine, across = base.with_user_words({"탄소중립": ("NNP", 5000)}), base.with_user_words({"중립목표": ("NNP", 5000)})
-    return df.select("id", *[_shown(x.analyze(F.col("s"))["tokens"]).alias(n) for x, n in ((base, "before"), (mine, "with_words"), (across, "crossing"))])
-
-
 @query()
 def analyze_nbest(spark, d):
     out = _sentences(spark).select("id", F.explode(api.Analyzer(seed_model()).n_best(F.col("sentence"), 10)).alias("c"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, fixtures, mining, relational
+from . import analysis, korean, mining, relational
 
-_MODULES = (analysis, fixtures, mining, relational)
+_MODULES = (analysis, korean, mining, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -30,7 +30,18 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """A table too small to be cut well by file splits, dealt out to the cores (by ``by``); others stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *by) if size < cores << 27 else df
+
+
 def words(docs: DataFrame) -> DataFrame:
+    return _words(spread(docs.select("doc_id", "lang", "source", "text")))
+
+
+def _words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", "source", F.posexplode(text.eojeols(F.col("text"))).alias("idx", "form")).withColumn("pos", tag(F.col("form")))
 
 
@@ -60,14 +71,15 @@ def oov_class_counts(spark, d):
     return chars.select(text.char_class(F.col("c")).alias("tag"), "count").groupBy("tag").agg(F.sum("count").alias("n"))
 
 
-@query(f"""WITH {W},
-g AS (SELECT coalesce(lag(pos, 2) OVER o, 'BOS') AS p1, coalesce(lag(pos) OVER o, 'BOS') AS p2, pos AS p3, lead(pos) OVER o IS NULL AS last FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY idx)),
-a AS (SELECT p1, p2, p3 FROM g UNION ALL SELECT p2, p3, 'EOS' FROM g WHERE last),
-n AS (SELECT p1, p2, p3, count(*) AS n FROM a GROUP BY ALL)
-SELECT p1, p2, p3, n, round(-ln((n + 1) / ((sum(n) OVER (PARTITION BY p1, p2)) + (SELECT count(DISTINCT p3) FROM n))), 6) AS cost FROM n""")
+@query(f"""WITH {W}, s AS (SELECT list(pos ORDER BY idx) AS p FROM t GROUP BY doc_id),
+b AS (SELECT unnest(list_zip(p, p[2:] || ['EOS'])) AS x FROM s), bi AS (SELECT x[1] AS p1, x[2] AS p2, count(*) AS n FROM b GROUP BY ALL),
+c AS (SELECT unnest(list_zip(p[1:len(p) - 2], p[2:len(p) - 1], p[3:len(p)])) AS x FROM s WHERE len(p) >= 3), tri AS (SELECT x[1] AS p1, x[2] AS p2, x[3] AS p3, count(*) AS n FROM c GROUP BY ALL),
+u AS (SELECT sum(n) AS total FROM bi WHERE p2 <> 'EOS')
+SELECT p1, p2, p3, tri.n, round(-ln((tri.n + 0.01::DOUBLE) / (bi.n + 0.01::DOUBLE * 42)), 4) AS cost FROM tri JOIN bi USING (p1, p2)
+UNION ALL SELECT p1, p2, NULL, n, round(-ln((n + 0.01::DOUBLE) / (total + 0.01::DOUBLE * 42)), 4) FROM bi, u WHERE p2 <> 'EOS'""")
 def pos_trigram_costs(spark, d):
-    grams = counts.tag_ngrams(words(read(spark, d, "documents")), "doc_id", "idx", "pos")
-    return counts.ngram_costs(grams).withColumn("cost", F.round("cost", 6))
+    """Costs of tag triples and pairs: add 0.01 of 42 tags, sentence bounds left out."""
+    return counts.ngram_costs(counts.tag_ngrams(words(read(spark, d, "documents")), "doc_id", "idx", "pos"))
 
 
 def _lexicon(spark):
@@ -128,11 +140,24 @@ def conflict_removal(spark, d):
     return n.where(F.col("other") <= F.col("freq") * F.when(F.length("form") >= 2, 2).otherwise(5)).select("form", "freq")
 
 
+def five(form: Column) -> list[Column]:
+    """Five analyzers' readings of a word."""
+    bare = F.regexp_replace(form, "[^A-Za-z0-9]", "")
+    return [form, F.lower(form), bare, F.lower(bare), F.substring(form, 1, 8)]
+
+
+def five_wide(w: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and f0 to f4. A generator makes the readings, else each use of one would compute it again."""
+    return w.select(*keep, F.inline_outer(F.array(F.struct(*[x.alias(f"f{k}") for k, x in enumerate(five(F.col("form")))]))))
+
+
+FIVE = [f"f{k}" for k in range(5)]
+
+
 def readings(docs: DataFrame) -> DataFrame:
-    """Five analyzers' readings of each word: (doc_id, source, idx, analyzer, form)."""
-    w, bare = F.col("form"), F.regexp_replace("form", "[^A-Za-z0-9]", "")
-    five = [w, F.lower(w), bare, F.lower(bare), F.substring(w, 1, 8)]
-    return words(docs).select("doc_id", "source", "idx", F.posexplode(F.array(*five)).alias("analyzer", "form")).where("form <> ''").withColumn("pos", tag(F.col("form")))
+    """Readings of each word: (doc_id, source, idx, analyzer, surface, pos), texts hashed by doc_id before they are cut."""
+    by_doc = docs.select("doc_id", "lang", "source", "text").repartition("doc_id")
+    return _words(by_doc).select("doc_id", "source", "idx", F.posexplode(F.array(*five(F.col("form")))).alias("analyzer", "surface")).where("surface <> ''").withColumn("pos", tag(F.col("surface")))
 
 
 R = W + """,
@@ -146,44 +171,44 @@ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, idx ORDER BY agree DESC,
 SELECT agree, candidates, agree >= 3 AS accepted, count(*) AS n FROM k WHERE k = 1 GROUP BY ALL""")
 def majority_vote(spark, d):
     """Agreement of five analyzers on each word, accepted from three."""
-    r = readings(read(spark, d, "documents")).withColumn("item", F.struct("doc_id", "idx"))
-    return curate.vote(r, "item", "analyzer", "form", 3).groupBy("agree", "candidates", "accepted").agg(F.count("*").alias("n"))
+    v = curate.vote_wide(five_wide(words(read(spark, d, "documents"))), FIVE, 3)
+    return v.groupBy("agree", "candidates", "accepted").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {R}, g AS (SELECT doc_id, idx, form, count(DISTINCT analyzer) AS agree, min(analyzer) AS f FROM r GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, idx ORDER BY agree DESC, f) AS k FROM g)
 SELECT doc_id, CASE WHEN min(agree) >= 3 THEN 'normal' ELSE 'suspicious' END AS status, count(*) AS eojeols, count(*) FILTER (WHERE agree < 3) AS suspicious, min(agree) AS least, string_agg(form, ' ' ORDER BY idx) AS joined FROM k WHERE k = 1 GROUP BY doc_id""")
 def sentence_rollup(spark, d):
-    """Votes per word gathered per text in order: normal unless some word lacks a majority."""
-    r = readings(read(spark, d, "documents")).withColumn("item", F.struct("doc_id", "idx"))
-    v = curate.vote(r, "item", "analyzer", "form", 3)
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item.idx", "form"))), lambda x: x["form"]), " ")
-    return v.groupBy(F.col("item.doc_id").alias("doc_id")).agg(F.when(F.min("agree") >= 3, "normal").otherwise("suspicious").alias("status"), F.count("*").alias("eojeols"), F.count_if(F.col("agree") < 3).alias("suspicious"), F.min("agree").alias("least"), ordered.alias("joined"))
+    """Votes per word gathered per text in order: normal unless some word lacks a majority. Only whole texts are moved."""
+    w = _words(read(spark, d, "documents").select("doc_id", "lang", "source", "text").repartition("doc_id"))
+    v = curate.vote_wide(five_wide(w, "doc_id", "idx"), FIVE, 3, "doc_id", "idx")
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]), " ")
+    least = F.min("agree")
+    return v.groupBy("doc_id").agg(F.when(least >= 3, "normal").otherwise("suspicious").alias("status"), F.count("*").alias("eojeols"), F.count_if(F.col("agree") < 3).alias("suspicious"), least.cast("bigint").alias("least"), ordered.alias("joined"))
 
 
 @query(f"""WITH {R} SELECT form AS surface, pos, count(DISTINCT doc_id) AS frequency, count(DISTINCT analyzer) AS votes, form IN ('the','and','de') AS in_dict, list_sort(list_distinct(list(source))) AS domains FROM r GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5""")
 def candidate_pool(spark, d):
-    r = readings(read(spark, d, "documents")).withColumnRenamed("form", "surface")
-    return curate.pool(r, ["surface", "pos"], "analyzer", "source", F.col("surface").isin("the", "and", "de"), "doc_id").where("frequency >= 5")
+    return curate.pool(readings(read(spark, d, "documents")), ["surface", "pos"], "analyzer", "source", F.col("surface").isin("the", "and", "de"), "doc_id").where("frequency >= 5")
 
 
-@query(f"""WITH {R}, p AS (SELECT form AS surface, pos, doc_id % 2 AS half, count(DISTINCT doc_id) AS frequency, count(DISTINCT analyzer) AS votes FROM r GROUP BY ALL)
-SELECT surface, pos, sum(frequency)::BIGINT AS frequency, max(votes) AS votes, count(*) AS pools FROM p GROUP BY ALL""")
+@query(f"""WITH {R}, p AS (SELECT form AS surface, pos, doc_id % 2 AS half, count(DISTINCT doc_id) AS frequency, count(DISTINCT analyzer) AS votes, list(DISTINCT source) AS domains FROM r GROUP BY ALL)
+SELECT surface, pos, sum(frequency)::BIGINT AS frequency, max(votes) AS votes, surface = 'the' AS in_dict, array_to_string(list_sort(list_distinct(flatten(list(domains)))), ' ') AS domains FROM p GROUP BY ALL""")
 def pool_upsert(spark, d):
     """A new pool merged into an older one."""
-    r = readings(read(spark, d, "documents")).withColumnRenamed("form", "surface")
-    halves = [curate.pool(r.where(f"doc_id % 2 = {k}"), ["surface", "pos"], "analyzer", "source", F.lit(False), "doc_id").withColumn("pools", F.lit(1)) for k in (0, 1)]
-    merged = curate.merge_pools(halves[0].drop("pools"), halves[1].drop("pools"), ["surface", "pos"])
-    n = halves[0].union(halves[1]).groupBy("surface", "pos").agg(F.sum("pools").alias("pools"))
-    return merged.join(n, ["surface", "pos"]).select("surface", "pos", "frequency", "votes", "pools")
+    docs = read(spark, d, "documents")
+    old, new = (curate.pool(readings(docs.where(f"doc_id % 2 = {k}")), ["surface", "pos"], "analyzer", "source", F.col("surface") == "the", "doc_id") for k in (0, 1))
+    return curate.merge_pools(old, new, ["surface", "pos"]).withColumn("domains", F.array_join("domains", " "))
 
 
 @query(f"""WITH {R}, p AS (SELECT form AS surface, pos, count(DISTINCT doc_id) AS frequency, count(DISTINCT analyzer) AS votes, list_distinct(list(CASE source WHEN 'src0' THEN 'news' WHEN 'src1' THEN 'blog' ELSE 'wiki' END)) AS domains FROM r WHERE form NOT IN ('the','and','de') GROUP BY ALL),
 g(gate, tags, v, f, dom, lo, hi) AS (VALUES ('L2-NNG',['NNG'],3,10,['news'],2,99),('L2-NNP',['NNP'],4,3,['news'],2,15),('L3',['NNG','MAG'],4,10,['blog'],2,99),('L4',['VV','VA'],4,10,['news','blog','wiki'],1,99),('L5',['NNG'],4,10,['news','blog','wiki'],3,99),('Wiki-strict',['NNG'],4,10,['wiki'],2,99),('Wiki-3of4',['NNG'],3,10,['wiki'],2,99))
 SELECT surface, pos, frequency, votes, gate FROM p JOIN g ON list_contains(tags, pos) AND votes >= v AND frequency >= f AND list_has_any(domains, dom) AND length(surface) BETWEEN lo AND hi WHERE surface NOT IN ('of','in')""")
 def layer_gates(spark, d):
-    r = readings(read(spark, d, "documents")).withColumnRenamed("form", "surface").withColumn("domain", F.when(F.col("source") == "src0", "news").when(F.col("source") == "src1", "blog").otherwise("wiki"))
-    p = curate.pool(r, ["surface", "pos"], "analyzer", "domain", F.col("surface").isin("the", "and", "de"), "doc_id")
+    r = readings(read(spark, d, "documents")).withColumn("domain", F.when(F.col("source") == "src0", "news").when(F.col("source") == "src1", "blog").otherwise("wiki"))
+    # what no gate can pass is left out before it is counted
+    open_ = r.where(~F.col("surface").isin("the", "and", "de", "of", "in")).where(curate.passable())
+    p = curate.pool(open_, ["surface", "pos"], "analyzer", "domain", F.lit(False), "doc_id")
     return curate.gate(p, stop=["of", "in"]).select("surface", "pos", "frequency", "votes", "gate")
 
 
@@ -411,8 +436,7 @@ def margin_sweep(spark, d):
 @query(f"""WITH {R}, a AS (SELECT doc_id, source, idx, max(form) FILTER (WHERE analyzer = 1) AS x, max(form) FILTER (WHERE analyzer = 3) AS y FROM r GROUP BY ALL)
 SELECT source, round(avg(CASE WHEN x = y THEN 1.0 ELSE 0.0 END), 6) AS agreement, CASE WHEN 1 - avg(CASE WHEN x = y THEN 1.0 ELSE 0.0 END) <= 0.02 THEN 'pass' ELSE 'review' END AS gate FROM a GROUP BY source""")
 def agreement_rate(spark, d):
-    a = readings(read(spark, d, "documents")).where("analyzer in (1, 3)").groupBy("doc_id", "source", "idx").pivot("analyzer", [1, 3]).agg(F.max("form"))
-    # words that neither reads count as well, as disagreement
-    every = words(read(spark, d, "documents")).select("doc_id", "source", "idx")
-    s = every.join(a, ["doc_id", "source", "idx"], "left").groupBy("source").agg(F.avg(F.coalesce((F.col("1") == F.col("3")).cast("double"), F.lit(0.0))).alias("r"))
+    """How often two analyzers agree, by source; words that neither reads count as well, as disagreement."""
+    w = five_wide(words(read(spark, d, "documents")), "source")
+    s = w.groupBy("source").agg(F.avg(((F.col("f1") == F.col("f3")) & (F.col("f1") != "")).cast("double")).alias("r"))
     return s.select("source", F.round("r", 6).alias("agreement"), F.when(1 - F.col("r") <= 0.02, "pass").otherwise("review").alias("gate"))
