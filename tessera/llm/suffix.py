@@ -1,4 +1,4 @@
-"""Suffix-array dedup (operator 2): every maximal repeat of at least ``least`` words, with all its occurrences.
+"""Suffix-array dedup (operator 2): every maximal repeat of at least ``least`` words, with all its occurrences, as a tree.
 
 A maximal repeat is a word sequence whose occurrences are not all preceded by the same word and not all followed by
 the same word. They are the left-diverse nodes of the interval tree of an enhanced suffix array. Sorting every
@@ -23,13 +23,15 @@ one text count; an empty table gives an empty table; extra columns pass through,
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from .blocks import Words, chunks, mix, pair, shifted, signed, text_buffers, window_hash, word_runs
 from .common import col, fresh, row_key, stage
@@ -211,51 +213,43 @@ def common_words(a: bytes, b: bytes, least: int) -> int:
 
 
 class Scan:
-    """The stack scan. Leaves come in suffix order; ``closed`` gets (depth, first leaf, last leaf) of each node."""
+    """The stack scan of one first gram. Leaves come in suffix order; closed nodes are (depth, first leaf), up to the last.
+
+    Only the stack and the places where left words change are held, whatever the number of leaves.
+    """
 
     def __init__(self, least: int):
-        self.least, self.base = least, 0
+        self.least = least
+        self.hash = None
         self.clear()
 
     def clear(self) -> None:
-        self.doc: list = []
-        self.key: list = []
-        self.start: list = []
-        self.prev: list = []
-        self.change: list = []  # leaves so far whose left word differs from their neighbour's
-        self.head: list = []  # leaves so far that begin their text
+        self.n = 0
+        self.change = self.head = -1  # the last leaf with another left word than its neighbour, and with none
         self.stack: list = [(0, 0)]
-        self.last = b""
-        self.hash = None
+        self.suffix, self.prev = b"", None
 
-    def diverse(self, a: int, b: int) -> bool:
-        return self.change[b] > self.change[a] or self.head[b] > (self.head[a - 1] if a else 0)
+    def diverse(self, first: int) -> bool:
+        """Whether the leaves from ``first`` to the last aren't all preceded by the same word."""
+        return self.change > first or self.head >= first
 
-    def close_to(self, depth: int, leaf: int) -> Iterator[tuple[int, int, int]]:
-        """Close nodes deeper than ``depth`` that end before ``leaf``; then open one at ``depth`` if needed."""
-        first = leaf - 1
+    def close_to(self, depth: int) -> Iterator[tuple[int, int]]:
+        """Close nodes deeper than ``depth`` that end at the last leaf; then open one at ``depth`` if needed."""
+        first = self.n - 1
         while self.stack[-1][0] > depth:
             deep, first = self.stack.pop()
-            if deep >= self.least:
-                yield deep, first, leaf - 1
+            yield deep, first
         if self.stack[-1][0] < depth:
             self.stack.append((depth, first))
 
-    def add(self, h: int, suffix: bytes, doc, key: int, start: int, prev) -> Iterator[tuple[int, int, int]]:
-        k = len(self.doc)
-        if k:
-            yield from self.close_to(common_words(self.last, suffix, self.least), k)
-        self.change.append((self.change[-1] + (prev != self.prev[-1])) if k else 0)
-        self.head.append((self.head[-1] if k else 0) + (prev is None))
-        self.doc.append(doc)
-        self.key.append(key)
-        self.start.append(start)
-        self.prev.append(prev)
-        self.last, self.hash = suffix, h
-
-    def finish(self) -> Iterator[tuple[int, int, int]]:
-        if self.doc:
-            yield from self.close_to(0, len(self.doc))
+    def add(self, suffix: bytes, prev) -> None:
+        """The next leaf; what it closes must have been closed by close_to."""
+        if prev is None:
+            self.head = self.n
+        elif self.n and prev != self.prev:
+            self.change = self.n
+        self.n += 1
+        self.suffix, self.prev = suffix, prev
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -263,69 +257,121 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
-def _groups(least: int):
-    names = ["group_id", "n_words", "n_occurrences", "doc_ids", "starts"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+def _groups(least: int, most: int = 1 << 18):
+    names = ["group_id", "parent_id", "n_words", "n_occurrences", "doc_id", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan, out, held = Scan(least), [], 0
-
-        def found(nodes: Iterator[tuple[int, int, int]]) -> None:
-            nonlocal held
-            for depth, a, b in nodes:
-                if scan.diverse(a, b):
-                    out.append((scan.hash, depth, b - a + 1, scan.doc[a : b + 1], scan.start[a : b + 1]))
-                    held += b - a + 1
+        scan = Scan(least)
+        docs, starts, null = array("q"), array("i"), set()  # of the leaves of this gram: 12 bytes each
+        loose = array("q")  # leaves in no closed group yet
+        below: list[tuple] = []  # groups without a parent yet: first leaf, id, n_words, n_occurrences, leaves
+        rows: list[tuple] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal out, held
-            rows, out, held = out, [], 0
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-        for h, suffix, doc, key, start, prev in _rows(batches):
+            nonlocal held
+            size = [len(x[4]) for x in rows]
+            out = [np.repeat(np.array([x[k] or 0 for x in rows], t), size) for k, t in enumerate((np.int64, np.int64, np.int32, np.int32))]
+            top = np.repeat([x[1] is None for x in rows], size)
+            docs_of, starts_of, gone = (np.concatenate([x[k] for x in rows]) for k in (4, 5, 6))
+            rows.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], mask=top), *map(pa.array, out[2:]), pa.array(docs_of, mask=gone), pa.array(starts_of)], names=names)
+
+        def settle(first: int, parent: int | None) -> Iterator[pa.RecordBatch]:
+            """The groups that begin at ``first`` or later have this parent."""
+            nonlocal held
+            while below and below[-1][0] >= first:
+                _, own, n_words, n, leaves = below.pop()
+                for lo in range(0, len(leaves), most):
+                    part = leaves[lo : lo + most]
+                    gone = np.array([x in null for x in part], bool) if null else np.zeros(len(part), bool)
+                    rows.append((own, parent, n_words, n, np.array([docs[x] for x in part]), np.array([starts[x] for x in part], np.int32), gone))
+                    held += len(part)
+                    if held > most:
+                        yield flush()
+
+        def close(depth: int) -> Iterator[pa.RecordBatch]:
+            for deep, first in scan.close_to(depth):
+                if not scan.diverse(first):
+                    continue
+                own = xxh3_64_intdigest(f"{scan.hash} {first} {deep}".encode()) - (1 << 63)
+                yield from settle(first, own)
+                at = bisect_left(loose, first)
+                leaves = loose[at:]
+                del loose[at:]
+                if not leaves or leaves[0] != first:
+                    leaves.insert(0, first)
+                below.append((first, own, deep, scan.n - first, leaves))
+
+        for h, suffix, doc, _, start, prev in _rows(batches):
             if h != scan.hash:
-                found(scan.finish())
+                yield from close(0)
+                yield from settle(0, None)
                 scan.clear()
-            found(scan.add(h, suffix, doc, key, start, prev))
-            if held > 200_000:
-                yield flush()
-        found(scan.finish())
-        if out:
+                scan.hash = h
+                docs, starts, loose = array("q"), array("i"), array("q")
+                null.clear()
+            elif scan.n:
+                yield from close(common_words(scan.suffix, suffix, least))
+            if doc is None:
+                null.add(scan.n)
+            docs.append(doc or 0)
+            starts.append(start)
+            loose.append(scan.n)
+            scan.add(suffix, prev)
+        yield from close(0)
+        yield from settle(0, None)
+        if rows:
             yield flush()
 
     return run
 
 
-def _spans(least: int):
+def _spans(least: int, most: int = 1 << 17):
     """For each leaf the longest repeat in which another occurrence comes first: rk, i, n words to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scan(least)
-        longest: dict[int, int] = {}
-        rank: list = []
-
-        def found(nodes: Iterator[tuple[int, int, int]]) -> None:
-            for depth, a, b in nodes:
-                keep = min(range(a, b + 1), key=rank.__getitem__)
-                for j in range(a, b + 1):
-                    if rank[j] != rank[keep] and longest.get(j, 0) < depth:
-                        longest[j] = depth
+        # of each open node the first occurrence so far, and the latest leaf: (leaf, its place in the order, key, start)
+        free: list[tuple] = []
+        out: list[tuple] = []
+
+        def fold(depth: int, first: int) -> None:
+            """Of the leaves from ``first``, whose deepest open node has this depth, all but the first occurrence lose it."""
+            while len(free) > 1 and free[-2][0] >= first:
+                b, a = free.pop(), free.pop()
+                if b[1] < a[1]:
+                    a, b = b, a
+                if a[1] != b[1]:
+                    out.append((b[2], b[3], depth))
+                free.append((min(a[0], b[0]), *a[1:]))
+
+        def close(depth: int) -> None:
+            for deep, first in scan.close_to(depth):
+                fold(deep, first)
+            if scan.stack[-1][0]:
+                fold(*scan.stack[-1])
 
         def flush() -> pa.RecordBatch:
-            at = list(longest)
-            return pa.RecordBatch.from_arrays([pa.array([scan.key[j] for j in at], pa.int64()), pa.array([scan.start[j] for j in at], pa.int32()), pa.array([longest[j] for j in at], pa.int32())], names=["rk", "i", "n"])
+            key, start, n = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())], names=["rk", "i", "n"])
 
         for h, suffix, doc, key, start, prev in _rows(batches):
             if h != scan.hash:
-                found(scan.finish())
-                if longest:
-                    yield flush()
-                longest, rank = {}, []
+                close(0)
                 scan.clear()
-            found(scan.add(h, suffix, doc, key, start, prev))
-            rank.append((doc is not None, doc or 0, key, start))
-        found(scan.finish())
-        if longest:
+                scan.hash = h
+                free.clear()
+            elif scan.n:
+                close(common_words(scan.suffix, suffix, least))
+            free.append((scan.n, (doc is not None, doc or 0, key, start), key, start))
+            scan.add(suffix, prev)
+            if len(out) > most:
+                yield flush()
+        close(0)
+        if out:
             yield flush()
 
     return run
@@ -353,12 +399,29 @@ def sorted_suffixes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, d
 
 
 def repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(group_id, n_words, n_occurrences, doc_ids, starts): each maximal repeat and all its places, in words from 0.
+    """(group_id, parent_id, n_words, n_occurrences, doc_id, start): the maximal repeats as an interval tree.
 
-    ``group_id`` is the hash of the repeat's first ``least`` words; with n_words it tells groups apart.
+    A group's parent is the longest group that its repeat begins with. A place (start counts words from 0) is in a row
+    of the longest group that begins there, and each group has its first place in suffix order besides, so a group's
+    ``n_occurrences`` places are those of its rows and of all groups below it. Spelled out for each group they would
+    grow with the square of a cluster of near copies; ``occurrences`` does it.
     """
     _, rows = sorted_suffixes(docs, least, anchor, doc_id, text)
-    return rows.mapInArrow(_groups(least), "group_id long, n_words int, n_occurrences int, doc_ids array<long>, starts array<int>")
+    return rows.mapInArrow(_groups(least), "group_id long, parent_id long, n_words int, n_occurrences int, doc_id long, start int")
+
+
+def occurrences(tree: DataFrame) -> DataFrame:
+    """(group_id, doc_id, start): every place of every group of ``repeats``; repeated rows' places are told apart no more.
+
+    Places move up to the parent, level by level, until no group has one; each level is written to the shared folder.
+    """
+    up = stage(tree.where("parent_id is not null").select("group_id", "parent_id").distinct(), "parents")
+    now = stage(tree.select("group_id", "doc_id", "start").distinct(), "places")
+    out = now
+    while not now.isEmpty():
+        now = stage(now.join(up, "group_id").select(F.col("parent_id").alias("group_id"), "doc_id", "start").distinct(), "places")
+        out = out.union(now)
+    return out.distinct()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
