@@ -9,8 +9,9 @@ suffix of the corpus is not needed for that, and nothing but these exact steps l
    whose minimizer occurs once hold no repeat; where all runs of a minimizer show the same words from the word
    before the run to the minimizer's end, no start in them is preceded by different words.
 2. For the starts of the other runs the same test is made with the whole gram of ``least`` words.
-3. The suffixes of what remains, up to where an unrepeated gram ends the repeat, are sorted by Spark (external
-   sort), and one pass over each sorted partition computes common prefixes of neighbours, scans them with a stack
+3. The suffixes of what remains, up to where an unrepeated gram ends the repeat or no occurrence after another word
+   goes on, are sorted by Spark (external sort), and one pass over each sorted partition computes
+   common prefixes of neighbours, scans them with a stack
    and tests each closed interval for left-extension diversity. The first ``least`` words are compared by 192 bits of
    hashes, which stand for them in the shuffle, all later words as such.
 
@@ -389,7 +390,12 @@ def sorted_suffixes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, d
     held = stage(base.join(wanted, "rk").select("rk", "text", "runs", "doc_id"), "repeats")
     starts = held.select("rk", "text", "runs").mapInArrow(_starts(least), "h long, prev long, rk long, i int, r int")
     gram = Window.partitionBy("h")
-    tested = starts.select("*", F.count("*").over(gram).alias("c"), F.count("prev").over(gram).alias("p"), F.min("prev").over(gram).alias("a"), F.max("prev").over(gram).alias("b")).where("c > 1 and (p < c or a <> b)")
+    size = F.col("r") - F.col("i")
+    tested = starts.select("*", F.count("*").over(gram).alias("c"), F.count("prev").over(gram).alias("p"), F.min("prev").over(gram).alias("a"), F.max("prev").over(gram).alias("b"), F.max(F.struct(size.alias("n"), "prev")).over(gram).alias("top")).where("c > 1 and (p < c or a <> b)")
+    # a repeat that is to be told has occurrences after different words: it is no longer than the second longest of
+    # the longest suffixes after each word (a text's begin is like no other), and no suffix need be longer than that
+    second = F.max(F.when(~F.col("prev").eqNullSafe(F.col("top.prev")), size)).over(gram)
+    tested = tested.select("rk", "i", "h", "prev", F.least("r", F.col("i") + F.when(F.col("top.prev").isNull() & (F.col("c") - F.col("p") > 1), F.col("top.n")).otherwise(second)).alias("r"))
     # a table of its own, so that the shuffle of all tested starts is gone before suffixes are shuffled
     by_doc = stage(tested.groupBy("rk").agg(F.collect_list(F.struct("i", "r", "h", "prev")).alias("starts")), "starts")
     rows = held.join(by_doc, "rk").select("rk", "doc_id", "text", "starts").mapInArrow(_suffixes(least), "h long, suffix binary, doc_id long, rk long, i int, prev long")
