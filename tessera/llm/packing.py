@@ -22,9 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .blocks import word_runs
 from .common import broadcast_if_small, col, stage
@@ -33,9 +32,8 @@ WINDOW, PARTS = 2048, 100_000
 _SCHEMA = "window_id long, position int, source string, doc_id long, first_token int, n_tokens int, text string"
 
 
-@F.arrow_udf(LongType())
-def n_tokens(text: pa.Array) -> pa.Array:
-    return pa.array(np.concatenate([np.zeros(0, np.int64), *(np.diff(w.first) for _, _, w in word_runs(text))]))
+def n_tokens(text: str) -> Column:
+    return F.regexp_count(text, F.lit("[^ \\t\\n\\u000b\\f\\r]+")).cast("bigint")
 
 
 def shares(totals: list[tuple[str | None, int]], targets: dict[str | None, int] | None = None) -> list[tuple[str | None, int, int]]:
