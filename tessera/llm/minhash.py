@@ -2,10 +2,13 @@
 
 Words are lower-cased runs free of white space and ASCII punctuation; shingles are ``shingle`` consecutive
 words, or all words of a shorter text. ``bands * rows`` MinHash samples are taken per text. Texts with equal
-samples collapse to one representative. Representatives meet in band buckets; inside a bucket every pair is
-decided by its odd sketches (each sample toggles one of ``bits`` parity bits; z differing bits estimate
+samples collapse to one representative. Representatives meet in band buckets; inside a bucket pairs are decided by
+their odd sketches (each sample toggles one of ``bits`` parity bits; z differing bits estimate
 J = 1 + bits/(4k) ln(1 - 2z/bits)), breadth-first from each undecided member, which yields the components of the
-bucket's similarity graph without writing all its pairs. Components over all buckets are the groups.
+bucket's similarity graph without writing all its pairs. A bucket of more than ``block`` members is cut by a hash: its
+members are compared with one pivot, which goes to every block; those near it are connected through it, and only the
+others go to every block to be compared with all members. No link is lost, and a task holds one block. Components over
+all buckets are the groups.
 
 Defined cases: a null text, or one without words, has no shingles and joins no group; equal texts are always one
 group, also texts of one word; rows that repeat doc_id and text are one group with themselves and all their
@@ -27,7 +30,7 @@ from .blocks import BREAK, _C3, mix, pair, signed, window_hash, word_runs
 from .common import col, fresh, row_key, stage
 from .components import components
 
-BANDS, ROWS, SHINGLE, BITS, SIMILAR = 42, 3, 3, 512, 0.5
+BANDS, ROWS, SHINGLE, BITS, SIMILAR, BLOCK = 42, 3, 3, 512, 0.5, 4096
 _SKETCHED = "rk long, whole long, sketch binary, bands array<long>"
 
 
@@ -127,58 +130,128 @@ def _links(keys: np.ndarray, sketches: np.ndarray, most: int) -> Iterator[tuple[
             yield keys[root], keys[np.concatenate(found)]
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _edges(u: list, v: list, rest: np.ndarray | None = None, band: int = 0) -> pa.RecordBatch:
+    """Edges, then what isn't near its bucket's pivot (no v)."""
+    none = np.zeros(0, np.int64)
+    u, v, rest = np.concatenate([none, *u]), np.concatenate([none, *v]), none if rest is None else rest
+    gone = np.arange(len(u) + len(rest)) >= len(u)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, rest])), pa.array(np.concatenate([v, rest]), mask=gone), pa.array(np.full(len(gone), band), mask=~gone)], names=["u", "v", "band"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut where the first two columns change."""
+    for batch in batches:
+        x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(x)]])
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def _bucket_edges(most: int):
+    """band, block, blocks, node, sketch, the pivot first -> edges and rests. A bucket of one block is settled here."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        at = pivot = None
+        u: list = []
+        v: list = []
+        n = 0
+
+        def whole() -> None:
+            nonlocal n
+            t = pa.Table.from_batches(held)
+            n += len(t)
+            for root, others in _links(t.column("node").to_numpy(), _sketches(t.column("sketch").combine_chunks()), most):
+                u.append(np.full(len(others), root))
+                v.append(others)
+            held.clear()
+
+        for part in _parts(batches):
+            key = (part.column(0)[0], part.column(1)[0])
+            if key != at:
+                if held:
+                    whole()
+                at, pivot = key, None
+            if part.column(2)[0].as_py() == 1:
+                held.append(part)
+            else:  # one block of a hot bucket: against its pivot only, as batches come
+                nodes, sketches = part.column("node").to_numpy(), _sketches(part.column("sketch"))
+                if pivot is None:
+                    pivot = nodes[0], sketches[0]
+                near = np.bitwise_count(sketches ^ pivot[1]).sum(axis=1) <= most
+                hit = nodes[near & (nodes != pivot[0])]
+                yield _edges([np.full(len(hit), pivot[0])], [hit], nodes[~near], key[0].as_py())
+            if n > 50_000:
+                yield _edges(u, v)
+                u, v, n = [], [], 0
+        if held:
+            whole()
+        yield _edges(u, v)
+
+    return run
+
 
-        def edges(table: pa.Table) -> pa.RecordBatch:
-            band, keys = table.column(0).to_numpy(), table.column(1).to_numpy()
-            sketches = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint64).reshape(len(keys), -1)
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(band)) + 1, [len(band)]])
+def _rest_edges(most: int):
+    """band, block, asks, node, sketch: a block's members, then every row of the bucket that isn't near its pivot -> edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, nodes, sketches = None, [], None, None
+        for part in _parts(batches):
+            key = (part.column(0)[0], part.column(1)[0])
+            if key != at:
+                at, held, nodes = key, [], None
+            asks = np.asarray(part.column(2)).astype(bool)
+            n = int((~asks).sum())
+            if n:
+                held.append(part.slice(0, n))
+            if n == len(part):
+                continue
+            if nodes is None:
+                t = pa.Table.from_batches(held)
+                nodes, sketches = t.column("node").to_numpy(), _sketches(t.column("sketch").combine_chunks())
             u, v = [], []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                for root, others in _links(keys[a:b], sketches[a:b], most):
-                    u.append(np.full(len(others), root))
-                    v.append(others)
-            none = np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *u])), pa.array(np.concatenate([none, *v]))], names=["u", "v"])
-
-        for batch in batches:  # a bucket may go on in the next batch
-            band = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(band, band[-1])) if len(band) else 0
-            if cut:
-                yield edges(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield edges(pa.Table.from_batches(held))
+            for q, s in zip(part.column("node").to_numpy()[n:], _sketches(part.column("sketch").slice(n))):
+                hit = nodes[np.bitwise_count(sketches ^ s).sum(axis=1) <= most]
+                hit = hit[hit != q]
+                u.append(np.full(len(hit), q))
+                v.append(hit)
+            yield _edges(u, v)
 
     return run
 
 
-def near_groups(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, bits: int = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, bits: int = BITS, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(rk, root): row keys of the documents that resemble another row's key, and their group."""
     if bits % 64:
         raise ValueError("bits must be a multiple of 64")
+    most = most_differing(bands * rows, bits, similar)
     texts = docs.select(row_key(doc_id, text).alias("rk"), F.lower(col(text)).alias("text")).where("text is not null")
     sketched = stage(texts.mapInArrow(_sketch(bands, rows, shingle, bits), _SKETCHED), "sketches")
-    equal = Window.partitionBy("whole")
-    led = sketched.select("rk", "whole", F.min("rk").over(equal).alias("lead"))
-    same = led.where("rk <> lead").select(F.col("lead").alias("u"), F.col("rk").alias("v"))
-    leads = sketched.groupBy("whole").agg(F.min_by(F.struct("rk", "sketch", "bands"), "rk").alias("x")).select("x.*")
-    leads = stage(leads, "leads")
-    shared = (
-        leads.select("rk", F.explode("bands").alias("band"))
-        .select("rk", "band", F.count("*").over(Window.partitionBy("band")).alias("n"))
-        .where("n > 1")
-        .select("rk", "band")
-        .join(leads.select("rk", "sketch"), "rk")
-        .select("band", "rk", "sketch")
-    )
-    pairs = shared.repartition("band").sortWithinPartitions("band", "rk").mapInArrow(_bucket_edges(most_differing(bands * rows, bits, similar)), "u long, v long")
-    found = components(pairs.union(same)).select(F.col("node").alias("rk"), "root")
-    again = sketched.groupBy("rk").count().where("count > 1").select("rk", F.col("rk").alias("root"))
-    return found.union(again.join(found, "rk", "left_anti"))
+    # rows of equal samples have equal sketches and bands: any of them stands for all
+    leads = stage(sketched.groupBy("whole").agg(F.count("*").alias("n"), F.any_value(F.struct("sketch", "bands")).alias("x")).select(F.col("whole").alias("node"), "n", "x.*"), "leads")
+    posted = leads.select("node", F.explode("bands").alias("band"))
+    buckets = posted.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1").selectExpr("band as b", "pivot", f"ceil(size / {block}) as blocks")
+    shared = posted.join(buckets, F.col("band") == F.col("b")).selectExpr("band", "node", "blocks", "pivot", "pmod(xxhash64(node), blocks) as own")
+    shared = shared.join(leads.select("node", "sketch"), "node")
+    sent = shared.select("band", F.explode(F.expr("if(node = pivot, sequence(0L, blocks - 1), array(own))")).alias("block"), "blocks", "node", "sketch", (F.col("node") != F.col("pivot")).alias("later"))
+    found = sent.repartition("band", "block").sortWithinPartitions("band", "block", "later", "node").drop("later").mapInArrow(_bucket_edges(most), "u long, v long, band long")
+    found = stage(found, "bucket-edges")
+    edges, rest = found.where("v is not null").select("u", "v"), found.where("v is null").selectExpr("band as rb", "u as q")
+    if not rest.isEmpty():
+        hot = buckets.where("blocks > 1").join(rest.select("rb").distinct(), F.col("b") == F.col("rb"), "left_semi")
+        members = posted.join(hot, F.col("band") == F.col("b")).selectExpr("band", "pmod(xxhash64(node), blocks) as block", "false as asks", "node")
+        asking = rest.distinct().join(hot, F.col("rb") == F.col("b")).select(F.col("b").alias("band"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.lit(True).alias("asks"), F.col("q").alias("node"))
+        both = members.unionByName(asking).join(leads.select("node", "sketch"), "node").select("band", "block", "asks", "node", "sketch")
+        more = both.repartition("band", "block").sortWithinPartitions("band", "block", "asks", "node").mapInArrow(_rest_edges(most), "u long, v long, band long")
+        edges = edges.union(more.select("u", "v"))
+    roots = components(edges).withColumnRenamed("node", "r")
+    groups = leads.select("node", "n").join(roots, F.col("node") == F.col("r"), "left").where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"))
+    return sketched.select("rk", "whole").distinct().join(groups, F.col("whole") == F.col("node")).select("rk", "root")
 
 
 def _has_words(text: str) -> Column:
@@ -189,7 +262,8 @@ def near_dedup_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(doc_id, group_id) of every row that has a near copy, group_id being the least doc_id of its group."""
     keyed = docs.where(_has_words(text)).select(col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("rk"))
     own = keyed.join(near_groups(docs, doc_id=doc_id, text=text, **how), "rk")
-    return own.select("doc_id", F.min("doc_id").over(Window.partitionBy("root")).alias("group_id"))
+    least = own.groupBy("root").agg(F.min("doc_id").alias("group_id"))
+    return own.join(least, "root").select("doc_id", "group_id")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -198,8 +272,9 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **ho
     # which row goes on is decided on narrow rows; texts are shuffled once, to meet the verdict
     keyed = docs.where(_has_words(text)).select(col(doc_id).alias("d"), row_key(doc_id, text).alias("rk")).distinct()
     groups = near_groups(docs, doc_id=doc_id, text=text, **how)
-    ranked = keyed.join(groups, "rk").select("rk", F.row_number().over(Window.partitionBy("root").orderBy(F.col("d").asc_nulls_last(), "rk")).alias("k"))
-    verdict = ranked.where("k > 1").select(F.col("rk").alias(key), F.lit(True).alias(out))
+    own = keyed.join(groups, "rk")
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "rk"))["rk"].alias("stays"))
+    verdict = own.join(first, "root").where("rk <> stays").select(F.col("rk").alias(key), F.lit(True).alias(out))
     met = docs.withColumn(rk, row_key(doc_id, text)).join(verdict, col(rk) == col(key), "left")
     met = met.withColumn(n, F.row_number().over(Window.partitionBy(col(rk)).orderBy(col(rk))))
     return met.where(~F.coalesce(_has_words(text), F.lit(False)) | (col(out).isNull() & (col(n) == 1))).select(*[col(c) for c in docs.columns])
