@@ -49,11 +49,28 @@ def scattered(seed, n_docs=14):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_repeats_match_brute_force(spark, seed):
     texts = scattered(seed)
-    got = suffix.repeats(docs(spark, texts.items()), least=6, anchor=3).collect()
+    got = suffix.repeats(docs(spark, texts.items()), least=6, anchor=3)
     words = {d: t.split() for d, t in texts.items()}
-    mine = {tuple(words[r.doc_ids[0]][r.starts[0] : r.starts[0] + r.n_words]): sorted(zip(r.doc_ids, r.starts)) for r in got}
-    assert len(mine) == len(got)
-    assert mine == maximal_repeats(texts, 6)
+    repeat, size, parent, places = {}, {}, {}, defaultdict(set)
+    rows = got.collect()
+    for r in rows:
+        assert repeat.setdefault(r.group_id, tuple(words[r.doc_id][r.start : r.start + r.n_words])) == tuple(words[r.doc_id][r.start : r.start + r.n_words])
+        assert size.setdefault(r.group_id, r.n_occurrences) == r.n_occurrences and parent.setdefault(r.group_id, r.parent_id) == r.parent_id
+        places[r.group_id].add((r.doc_id, r.start))
+    assert len(rows) <= len({p for g in places.values() for p in g}) + len(places)
+    for g, up in parent.items():
+        assert up is None or repeat[g][: len(repeat[up])] == repeat[up] != repeat[g]
+    for g in list(places):
+        own, up = set(places[g]), parent[g]
+        while up is not None:
+            places[up] |= own
+            up = parent[up]
+    assert all(len(places[g]) == size[g] for g in places)
+    assert {repeat[g]: sorted(p) for g, p in places.items()} == maximal_repeats(texts, 6) and len(set(repeat.values())) == len(repeat)
+    spelled = defaultdict(set)
+    for r in suffix.occurrences(got).collect():
+        spelled[r.group_id].add((r.doc_id, r.start))
+    assert spelled == places
 
 
 def kept_words(texts, least):
@@ -85,7 +102,7 @@ def test_suffix_odd_cases(spark):
     assert sorted(by[None], key=lambda t: t is None)[0].startswith("w") and by[1] == [None] and by[2] == [""] and by[3] == [" \n\t "]
     assert all(t.split() == [] for t in by[4] + by[5]) and len(by[8][0].split()) == 60_000
     groups = suffix.repeats(df).collect()
-    assert [(g.n_words, sorted(g.doc_ids, key=str)) for g in groups] == [(85, [4, 4, 5, None])]
+    assert sorted((g.n_words, g.n_occurrences, str(g.doc_id), g.start) for g in groups) == [(85, 4, "4", 0), (85, 4, "4", 0), (85, 4, "5", 0), (85, 4, "None", 0)]
     assert suffix.suffix_dedup(docs(spark, [])).count() == 0 and suffix.repeats(docs(spark, [])).count() == 0
 
 
@@ -180,3 +197,17 @@ def test_a_large_bucket_of_copies(spark):
     rows = [(d, edited(base, 0.01, d)) for d in range(1500)] + [(5000 + d, base) for d in range(500)]
     got = [r.group_id for r in minhash.near_dedup_groups(docs(spark, rows)).collect()]
     assert len(got) == 2000 and set(got) == {0}
+
+
+def test_cut_buckets_lose_no_link(spark):
+    """Two families in one bucket, chains of edits and copies: groups are the same whatever the blocks."""
+    r = random.Random(2)
+    start = prose(60, 77, 5000)
+    rows, chain = [], prose(140, 9, 5000)
+    for d in range(300):
+        rows.append((d, start + " " + edited(chain, 0.01, d)))
+        if d % 10 == 0:
+            chain = edited(chain, 0.06, r.random())
+    rows += [(1000 + d, start + " " + edited(prose(300, 10, 5000), 0.01, d)) for d in range(80)] + [(2000 + d, rows[5][1]) for d in range(40)]
+    whole, cut = ({x.doc_id: x.group_id for x in minhash.near_dedup_groups(docs(spark, rows), block=b).collect()} for b in (4096, 16))
+    assert cut == whole and len(set(whole.values())) > 1 and len(whole) > 400
