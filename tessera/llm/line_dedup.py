@@ -12,7 +12,7 @@ the other and both lose the same lines; extra columns are passed through, whatev
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, fresh, row_key
@@ -26,9 +26,10 @@ def covered_lines(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text:
     windows = f"transform(sequence(0, greatest(size(l) - {width}, 0)), p -> struct(p, xxhash64({lines}) as h, xxhash64('2', {lines}) as g, p + {width} <= size(l) as ok))"
     base = docs.select(col(doc_id).alias("d"), row_key(doc_id, text).alias("rk"), col(text).alias("text")).where("text is not null")
     places = base.select("d", "rk", F.expr(f"element_at(transform(array(split(text, '\\n')), l -> {windows}), 1)").alias("w")).select("d", "rk", F.expr("inline_outer(w)")).where("ok")
-    same = Window.partitionBy("h", "g")
-    place = F.struct(F.col("d"), F.col("rk"), F.col("p"))
-    later = places.select("rk", "p", place.alias("place"), F.min(place).over(same).alias("least"), F.count("*").over(same).alias("n")).where("n > 1 and place > least")
+    # sums on the map side and a join, which AQE may split, in place of a window: a window of lines may be in any number of texts
+    place = F.struct("d", "rk", "p")
+    least = places.groupBy("h", "g").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("lh"), F.col("g").alias("lg"), "least")
+    later = places.join(least, (F.col("h") == F.col("lh")) & (F.col("g") == F.col("lg"))).where(place > F.col("least"))
     return later.groupBy("rk").agg(F.array_distinct(F.flatten(F.collect_list(F.expr(f"sequence(p, p + {width - 1})")))).alias("cut"))
 
 
