@@ -77,27 +77,29 @@ class Rule:
             return False
         return self.when is None or self.when(t, i)
 
+    def at(self, t: list[Token], i: int) -> None:
+        """Rewrite the tokens from place i, which the rule fits."""
+        own = t[i : i + len(self.items)]
+        kept = {int(m[1]) for x in self.new if (m := _KEPT.fullmatch(x))}
+        gone = [x for k, x in enumerate(own) if k not in kept] or own
+        made = []
+        for x in self.new:
+            if m := _KEPT.fullmatch(x):
+                made.append(own[int(m[1])]._replace(pos=m[2]) if m[2] else own[int(m[1])])
+            else:
+                form, _, tag = x.rpartition("/")
+                if "@" in form:  # a form made of the items' forms
+                    for k in range(len(own)):
+                        form = form.replace(f"@{k}", own[k].text)
+                made.append(Token(form, tag, gone[0].start, gone[-1].end))
+        t[i : i + len(own)] = made
+
     def apply(self, t: list[Token]) -> bool:
         i, changed = 0, False
         while i < len(t):
-            if not self.fits(t, i):
-                i += 1
-                continue
-            own = t[i : i + len(self.items)]
-            kept = {int(m[1]) for x in self.new if (m := _KEPT.fullmatch(x))}
-            gone = [x for k, x in enumerate(own) if k not in kept] or own
-            made = []
-            for x in self.new:
-                if m := _KEPT.fullmatch(x):
-                    made.append(own[int(m[1])]._replace(pos=m[2]) if m[2] else own[int(m[1])])
-                else:
-                    form, _, tag = x.rpartition("/")
-                    if "@" in form:  # a form made of the items' forms
-                        for k in range(len(own)):
-                            form = form.replace(f"@{k}", own[k].text)
-                    made.append(Token(form, tag, gone[0].start, gone[-1].end))
-            t[i : i + len(own)] = made
-            changed = True
+            if self.fits(t, i):
+                self.at(t, i)
+                changed = True
             i += 1
         return changed
 
@@ -236,10 +238,26 @@ FIRST = "auxiliary conjunction bound_noun affix determiner complement or bound_w
 SECOND = "auxiliary conjunction bound_noun affix determiner complement or bound_without lone_prefix final imperative come eat_honorific copula question_copula present_copula past_copula noun_back nde haeyo polite ending_pairs adverb_copula what_time degree one promise hither adverb_go adverb_come try determiners such honorific_yo my me so during quote".split()
 
 
+#: Groups whose rules take turns at each token, with the item that stands on it.
+_TURNS = {"affix": (1, 0)}
+
+
+def _by_turns(out: list[Token], rules: list[Rule], items: tuple[int, ...]) -> None:
+    for i in range(len(out)):
+        for rule, item in zip(rules, items):
+            if i >= item and rule.fits(out, i - item):
+                rule.at(out, i - item)
+
+
 def correct(tokens: list[Token], names: list[str]) -> list[Token]:
     out = list(tokens)
     forms, tags = {t.text for t in out}, {t.pos for t in out}
     for name in names:
+        if name in _TURNS:
+            if any(rule.possible(forms, tags) for rule in RULES[name]):
+                _by_turns(out, RULES[name], _TURNS[name])
+                tags = {t.pos for t in out}
+            continue
         for rule in RULES[name]:
             if rule.possible(forms, tags) and rule.apply(out):
                 forms, tags = {t.text for t in out}, {t.pos for t in out}
