@@ -184,3 +184,37 @@ def fits_key(key: Column, ms: Column) -> Column:
 def correction_value(gold: Column, pred: Column) -> Column:
     """Morphemes of either side that the other lacks."""
     return F.size(F.array_except(gold, pred)) + F.size(F.array_except(pred, gold))
+
+
+def compound_split(single: Column, double: Column) -> Column:
+    """struct(surface, first, second) where one analysis begins with one noun and the other with the same cut in two."""
+    a, b = leading_run(single), leading_run(double)
+    ok = (F.size(a) == 1) & (F.size(b) == 2) & (F.get(a, F.lit(0))["form"] == F.concat(F.get(b, F.lit(0))["form"], F.get(b, F.lit(1))["form"]))
+    return F.when(ok, F.struct(F.get(a, F.lit(0))["form"].alias("surface"), F.get(b, F.lit(0))["form"].alias("first"), F.get(b, F.lit(1))["form"].alias("second")))
+
+
+_MARKS = ".,!?:;\"'()[]《》「」『』【】…·—–−~"
+
+
+def aligned_words(words: Column, ms: Column) -> Column:
+    """array<struct<word, morphemes>>: morphemes dealt to words from left to right as long as their forms spell the word,
+    marks at its edges or not; words that take none are left out."""
+    pattern = "^[" + "".join("\\" + c if c in "[]^-\\" else c for c in _MARKS) + "]+|[" + "".join("\\" + c if c in "[]^-\\" else c for c in _MARKS) + "]+$"
+    kind = "struct<at:int,out:array<struct<word:string,morphemes:array<struct<form:string,pos:string>>>>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,morphemes:array<struct<form:string,pos:string>>>>").alias("out")).cast(kind)
+
+    def word(acc: Column, w: Column) -> Column:
+        bare = F.regexp_replace(w, pattern, "")
+        rest = F.slice(ms, acc["at"] + 1, F.greatest(F.size(ms) - acc["at"], F.lit(0)))
+        first = F.struct(F.lit("").alias("built"), F.lit(0).alias("n"), F.lit(True).alias("go"))
+
+        def take(a: Column, m: Column) -> Column:
+            built = F.concat(a["built"], m["form"])
+            ok = a["go"] & (w.startswith(built) | bare.startswith(built))
+            return F.struct(F.when(ok, built).otherwise(a["built"]).alias("built"), (a["n"] + ok.cast("int")).alias("n"), (ok & (built != w) & (built != bare)).alias("go"))
+
+        n = F.aggregate(rest, first, take, lambda a: a["n"])
+        taken = F.when(n > 0, F.array(F.struct(w.alias("word"), F.slice(ms, acc["at"] + 1, n).alias("morphemes")))).otherwise(F.array().cast("array<struct<word:string,morphemes:array<struct<form:string,pos:string>>>>"))
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], taken).alias("out")).cast(kind)
+
+    return F.aggregate(words, start, word, lambda a: a["out"])

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, korean, mining, relational
+from . import analysis, curation, korean, mining, relational
 
-_MODULES = (analysis, korean, mining, relational)
+_MODULES = (relational, analysis, curation, korean, mining)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

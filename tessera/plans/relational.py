@@ -342,13 +342,6 @@ def html_strip(spark, d):
     return read(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("body"))
 
 
-@query("WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:]+)', 1) AS host, url FROM pages), r(host_end, path, allow) AS (VALUES ('com', '/private', false), ('org', '/', true)) SELECT host, count(*) AS pages, count(*) FILTER (WHERE NOT contains(url, '/private')) AS allowed FROM h GROUP BY host")
-def robots_allowed(spark, d):
-    """Pages that rules per path admit; a host without rules allows all."""
-    h = read(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/:]+)", 1).alias("host"), "url")
-    return h.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(~F.contains("url", F.lit("/private"))).alias("allowed"))
-
-
 @query(f"""WITH {W}, f AS (SELECT DISTINCT 'w:' || form || '/' || pos AS feature FROM t),
 b AS (SELECT feature, list_reduce(list_prepend(140069::BIGINT, list_transform(range(0, octet_length(encode(feature))), lambda i: ('0x' || hex(encode(feature))[2 * i + 1 : 2 * i + 2])::BIGINT)), lambda h, x: (xor(h, x) * 435) & 1048575) AS bucket FROM f) SELECT feature, bucket FROM b""")
 def feature_buckets(spark, d):
