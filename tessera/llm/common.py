@@ -32,6 +32,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def added(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with more columns. Those that are there stay: a name that is taken gets underscores before it."""
+    return df.withColumns(dict(zip(fresh(df, *columns), columns.values())))
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A key of a document row that a recomputed task reproduces: equal rows share it, others don't."""
     return F.xxhash64(col(doc_id), col(text))

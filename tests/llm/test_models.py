@@ -222,7 +222,7 @@ def test_toxicity_of_a_rare_language():
     model = toxicity.calibrate(toxicity.Model(ordinary, toxic), *sample(10))
 
     def share(texts):
-        return model.verdicts(*model.counts(pa.array(texts), model.gain)).mean()
+        return model.verdicts(*model.counts(pa.array(texts))).mean()
 
     assert share([text("é", True) for _ in range(40)]) > 0.9 and share([text("w", True) for _ in range(40)]) > 0.9
     assert share([text("é", False) for _ in range(40)] + [text("w", False) for _ in range(40)]) < 0.05
