@@ -13,8 +13,8 @@ meet on the driver. Texts look code lengths up in a table of the grams that occu
 size is under ``broadcast_bytes``; beyond that each text's distinct grams are joined with it.
 
 Defined cases: before a text's start stand zero bytes; a null text has a null score, and so has an empty one, with 0
-bytes; repeated rows count and score each; texts are scored whole; other columns pass through; an empty table gives
-an empty table.
+bytes; repeated rows count and score each; texts are scored whole; other columns pass through, and one that has the
+score's name stays, the score's name getting an underscore before it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks, signed, text_buffers
-from .common import BROADCAST_BYTES, col, fresh, row_key, stage
+from .common import BROADCAST_BYTES, added, col, fresh, row_key, stage
 
 DEPTH = 5
 _HALF = math.log(0.5)
@@ -218,7 +218,7 @@ def score(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id", text: str
         parts = keyed.where(size > 0).select(col(rk).alias("rk"), col(text).alias("text")).dropDuplicates(["rk"]).mapInArrow(_text_grams(depth), "rk long, code long, n long")
         sums = parts.join(table, "code").groupBy("rk").agg(F.sum(F.col("n") * F.col("bits")).alias(bits)).withColumnRenamed("rk", key)
         met = keyed.join(sums, col(rk) == col(key), "left")
-        return met.select(*[col(c) for c in docs.columns], F.when(size > 0, col(bits) / size).alias(name))
+        return met.select(*[col(c) for c in docs.columns], F.when(size > 0, col(bits) / size).alias(fresh(docs, name)[0]))
     rows = table.toArrow().sort_by("code")
     shared = docs.sparkSession.sparkContext.broadcast((rows.column(0).to_numpy().astype(np.uint64), rows.column(1).to_numpy().astype(np.float32)))
 
@@ -235,4 +235,4 @@ def score(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id", text: str
             wide = np.diff(at)
             yield pa.array(total / np.maximum(wide, 1), mask=wide == 0)
 
-    return docs.withColumn(name, F.arrow_udf(scored, "double")(col(text)))
+    return added(docs, {name: F.arrow_udf(scored, "double")(col(text))})

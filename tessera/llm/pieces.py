@@ -13,7 +13,8 @@ pieces; others are refused. U+2581 in a text is the mark itself, so it decodes a
 
 Defined cases: a null text has null ids, an empty one none, and the reverse; repeated and very long texts are encoded
 whole; bytes that form no character decode as U+FFFD each; ids outside the vocabulary raise an error; control pieces
-decode as nothing; extra columns pass through.
+decode as nothing; equal texts have equal ids; an empty table gives an empty table; extra columns pass through, and one
+that has the new column's name stays, the new name getting an underscore before it.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks, text_buffers
-from .common import col
+from .common import added, col
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -405,11 +406,12 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
             ends = np.concatenate([[0], *[np.diff(cut) for _, cut in parts]]).cumsum()
             yield _lists(np.concatenate([np.zeros(0, np.int32), *[i for i, _ in parts]]), ends, np.asarray(column.is_null()))
 
-    return docs.withColumn(ids, F.arrow_udf(coded, "array<int>")(_marked(text)))
+    return added(docs, {ids: F.arrow_udf(coded, "array<int>")(_marked(text))})
 
 
 def encode_checked(docs: DataFrame, key: str = "doc_id", model: str = MODEL, text: str = "text") -> DataFrame:
     """(key, ids, round_trip): ids of every text, decoded again and compared with it (a mark in it counts as a blank)."""
+    # three columns under names of their own: others can't clash with them
     rows = docs.select(col(key).alias("key"), _marked(text), F.replace(col(text), F.lit(MARK), F.lit(" ")))
     return rows.mapInArrow(_encoded(_read(model), True), f"key {docs.schema[key].dataType.simpleString()}, ids array<int>, round_trip boolean").withColumnRenamed("key", key)
 
@@ -426,4 +428,4 @@ def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "d
             out = [x for lo, hi in chunks(cut, 1 << 20) for x in decoder.decode(own[cut[lo] : cut[hi]], cut[lo : hi + 1] - cut[lo])]
             yield pa.array(list(map(_text, out)), pa.string(), mask=np.asarray(column.is_null()))
 
-    return docs.withColumn(text, F.arrow_udf(texts, "string")(col(ids)))
+    return added(docs, {text: F.arrow_udf(texts, "string")(col(ids))})

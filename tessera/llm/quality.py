@@ -9,7 +9,8 @@ in the order of a hash of doc_id; scoring covers every row and every whole text.
 Defined cases: labels whose doc_id or quality is null, and those whose document is missing, are not used; several
 labels of one document all count; a null text has a null score and is kept, an empty one is scored by its zero
 statistics; repeated rows score alike; with no usable label, or only one class, scores are null and all rows are
-kept; extra columns pass through, whatever their names; an empty table gives an empty table.
+kept; extra columns pass through, whatever their names, and one that has the score's name stays, the score's name
+getting an underscore before it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Words, chunks, text_buffers
-from .common import col, fresh, stage
+from .common import added, col, fresh, stage
 
 STATISTICS = ["bytes", "words", "word_bytes", "upper", "digit", "punct", "marks", "bars", "other", "blank", "lines", "fresh_words", "fresh_lines"]
 MOST_LABELS, FEATURES, WIDTH, RIDGE, LEAST_QUALITY = 20_000, 256, 3.0, 1e-3, 0.5
@@ -172,13 +173,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, feat
 def score(docs: DataFrame, model: Model | None, name: str = "quality_score", text: str = "text") -> DataFrame:
     """``docs`` with the calibrated probability of good quality, null where the text is or where there's no model."""
     if model is None:
-        return docs.withColumn(name, F.lit(None).cast("double"))
+        return added(docs, {name: F.lit(None).cast("double")})
 
     @F.arrow_udf("double")
     def scored(column: pa.Array) -> pa.Array:
         return pa.array(model.score(statistics(column)), mask=np.asarray(column.is_null()))
 
-    return docs.withColumn(name, scored(col(text)))
+    return added(docs, {name: scored(col(text))})
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, least: float = LEAST_QUALITY, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
