@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -14,11 +14,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = Window.partitionBy("u")
-        least = F.min(F.least("u", "v")).over(near)
-        large = both.select("u", "v", least.alias("m")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.select("u", "v", F.min("v").over(near).alias("m"))
-        small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        # sums on the map side and joins, which AQE may split, in place of windows: a node may have any number of neighbours
+        least = both.groupBy("u").agg(F.min("v").alias("l")).select(F.col("u").alias("n"), F.least("u", "l").alias("m"))
+        large = both.where("v > u").join(least, F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
+        low = large.join(lowest, F.col("u") == F.col("n")).select("u", "v", "m")
+        small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
         now = stage(small, "edges")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..analysis import api, rules
+from ..analysis import api, rules, sql
 from ..analysis.seed import seed_model
 from ..functions import text
 from . import korean
@@ -146,3 +146,25 @@ def lattice_arcs(spark, d):
     """All candidate arcs of every sentence of the documents, by kind: their number and mean cost."""
     out = _document_sentences(spark, d).select("doc_id", F.explode(api.Analyzer(seed_model()).arcs(F.col("sentence"))).alias("a"))
     return out.groupBy("doc_id", "a.source").agg(F.count("*").alias("arcs"), F.round(F.avg("a.cost"), 4).alias("cost"))
+
+
+@query(f"SELECT doc_id, {korean._expected(lambda m: m.split('/')[0] if m.split('/')[1] in ('NNG', 'NNP') else '')} AS nouns, {korean._expected()} AS tokens FROM documents")
+def sql_functions(spark, d):
+    """The analyzer called from SQL."""
+    sql.register(spark, seed_model())
+    korean.sentences(spark, d).createOrReplaceTempView("tessera_sentences")
+    return spark.sql("SELECT doc_id, array_join(ko_nouns(sentence), ' ') AS nouns, array_join(transform(ko_tokens(sentence), t -> t.text || '/' || t.pos), ' ') AS tokens FROM tessera_sentences")
+
+
+@query(f"SELECT doc_id, {korean._expected()} AS own, {korean.joined_sql([korean.dealt_sql([w + '/NNG' for w in korean.PARTS[2][0]], 2, 4)])} AS simple, 0 AS failed FROM documents")
+def analyzers_by_name(spark, d):
+    """Analyzers called alike: the own one, a simple one, and one that fails, whose readings are empty."""
+    s = korean.sentences(spark, d)
+    third = lambda t: [(t.split(" ")[-2], "NNG")]
+    named = {"own": sql.own(seed_model()), "simple": sql.safe(third), "failed": sql.safe(lambda t: [(t[10**6], "")])}
+    return s.select("doc_id", *[(F.size(f(F.col("sentence"))) if n == "failed" else _shown(f(F.col("sentence")))).alias(n) for n, f in named.items()])
+
+
+@query(f"SELECT doc_id, {korean._expected(lambda m: m.split('/')[0] if m.split('/')[1] in api.SEARCH_TAGS else '')} AS terms FROM documents")
+def tokenizer_terms(spark, d):
+    return korean.sentences(spark, d).select("doc_id", F.array_join(sql.Tokenizer(seed_model()).terms(F.col("sentence")), " ").alias("terms"))

@@ -28,13 +28,13 @@ m AS (SELECT doc_id, rank, count(*) AS tp FROM c GROUP BY ALL), g AS (SELECT doc
 f AS (SELECT doc_id, rank, 2 * tp / (tp + n) AS f1 FROM m JOIN g USING (doc_id))"""
 
 
-def _candidates(docs):
+def _candidates(docs, keep_tp: bool = False):
     """Three stand-in candidates per text: without proper nouns, without numbers, complete; with their F1 against all words."""
     w = words(docs)
     c = w.select("doc_id", "pos", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank")).where("(rank = 1 and pos <> 'NNP') or (rank = 2 and pos <> 'SN') or rank = 3")
     m = c.groupBy("doc_id", "rank").agg(F.count("*").alias("tp"))
     g = w.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return m.join(g, "doc_id").select("doc_id", "rank", (2 * F.col("tp") / (F.col("tp") + F.col("n"))).alias("f1"))
+    return m.join(g, "doc_id").select("doc_id", "rank", *(["tp"] if keep_tp else []), (2 * F.col("tp") / (F.col("tp") + F.col("n"))).alias("f1"))
 
 
 @query(CAND + """, o AS (SELECT doc_id, arg_min(f1, rank) AS first, max(f1) AS best, min(rank) FILTER (WHERE f1 = bf) AS best_rank, max((f1 >= 1)::INT) AS exact FROM (SELECT *, max(f1) OVER (PARTITION BY doc_id) AS bf FROM f) GROUP BY doc_id)
@@ -104,14 +104,41 @@ def f1_by_confidence(spark, d):
     return rounded(scores.withColumn("quality", F.coalesce(F.col("quality").cast("string"), F.lit("all"))))
 
 
-@query("""WITH g AS (SELECT p, l FROM (SELECT unnest([0.1, 0.25, 0.5, 1.0, 2.0]) AS p), (SELECT unnest([0.5, 1.0, 1.5]) AS l)), s AS (SELECT p, l, sum((CASE WHEN n_chars * p > 400 * l THEN 1 ELSE 0 END = quality)::INT)::BIGINT AS hits FROM documents JOIN labels USING (doc_id), g GROUP BY ALL)
-SELECT p::DOUBLE AS penalty, l::DOUBLE AS bonus, hits, row_number() OVER (ORDER BY hits DESC, p, l)::INT AS rank FROM s""")
+_MARGINS = (0.0, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
+
+
+@query(CAND + f""", k AS (SELECT doc_id, max(tp) FILTER (WHERE rank = 1) AS a, max(tp) FILTER (WHERE rank = 2) AS b FROM m GROUP BY doc_id), p AS (SELECT k.doc_id, abs(coalesce(b, 0) - coalesce(a, 0)) AS delta, coalesce(x.f1, 0) AS fa, coalesce(y.f1, 0) AS fb FROM k LEFT JOIN f x ON x.doc_id = k.doc_id AND x.rank = 1 LEFT JOIN f y ON y.doc_id = k.doc_id AND y.rank = 2),
+z AS (SELECT unnest([{", ".join(map(str, _MARGINS))}])::DOUBLE AS margin)
+SELECT margin, count(*) FILTER (WHERE delta > margin) AS overrides, count(*) FILTER (WHERE delta > margin AND fb > fa) AS improved, count(*) FILTER (WHERE delta > margin AND fb < fa) AS worsened FROM p, z GROUP BY margin""")
+def margin_sweep(spark, d):
+    """How often each margin lets the second candidate override the first, and whether its F1 is better or worse then."""
+    c = _candidates(read(spark, d, "documents"), keep_tp=True).where("rank <= 2")
+    one = lambda k, name: F.coalesce(F.max(F.when(F.col("rank") == k, F.col(name))), F.lit(0))
+    both = c.groupBy("doc_id").agg(one(1, "f1").alias("fa"), one(2, "f1").alias("fb"), F.abs(one(2, "tp") - one(1, "tp")).alias("delta"))
+    x = both.crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in _MARGINS], "margin double")))
+    over = F.col("delta") > F.col("margin")
+    return x.groupBy("margin").agg(F.count_if(over).alias("overrides"), F.count_if(over & (F.col("fb") > F.col("fa"))).alias("improved"), F.count_if(over & (F.col("fb") < F.col("fa"))).alias("worsened"))
+
+
+_GRID = [(round(0.1 * p, 2), round(0.2 * b, 2)) for p in range(15) for b in range(15)]
+
+
+@query(f"""WITH {W}, q AS (SELECT lead(form) OVER (PARTITION BY doc_id ORDER BY idx) AS nxt, form FROM t), s AS (SELECT lower(form || nxt) AS form, count(*) AS split FROM q WHERE nxt IS NOT NULL GROUP BY 1), o AS (SELECT lower(form) AS form, count(*) AS single FROM t GROUP BY 1),
+x AS (SELECT length(form) AS k, single >= split AS gold, ln(single) AS ls, ln(split) AS lp FROM o JOIN s USING (form)), g(penalty, bonus) AS (VALUES {", ".join(f"({p}::DOUBLE, {b}::DOUBLE)" for p, b in _GRID)}),
+h AS (SELECT penalty, bonus, count(*) FILTER (WHERE (round(-ls - bonus * (k - 1), 9) <= round(-lp - bonus * (k - 2) + penalty, 9)) = gold) AS hits FROM x, g GROUP BY ALL)
+SELECT penalty, bonus, hits, row_number() OVER (ORDER BY hits DESC, penalty, bonus)::INT AS rank FROM h""")
 def parameter_grid(spark, d):
-    """All settings of a grid scored in one pass; few settings, so they are ranked together."""
-    g = spark.createDataFrame([(p, b) for p in (0.1, 0.25, 0.5, 1.0, 2.0) for b in (0.5, 1.0, 1.5)], "penalty double, bonus double")
-    j = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("n_chars", "quality").crossJoin(F.broadcast(g))
-    s = j.groupBy("penalty", "bonus").agg(F.count_if(F.when(F.col("n_chars") * F.col("penalty") > 400 * F.col("bonus"), 1).otherwise(0) == F.col("quality")).alias("hits"))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hits"), "penalty", "bonus")))
+    """225 settings of morpheme penalty and length bonus, scored in one pass by how often the cheaper of two analyses
+    of a word, whole or cut in two, is the more frequent one; few settings, so they are ranked together."""
+    w = words(read(spark, d, "documents"))
+    nxt = F.lead("form").over(Window.partitionBy("doc_id").orderBy("idx"))
+    s = w.select(F.lower(F.concat("form", nxt)).alias("form")).where("form is not null").groupBy("form").agg(F.count("*").alias("split"))
+    o = w.groupBy(F.lower("form").alias("form")).agg(F.count("*").alias("single"))
+    x = o.join(s, "form").select(F.length("form").alias("k"), (F.col("single") >= F.col("split")).alias("gold"), F.log("single").alias("ls"), F.log("split").alias("lp"))
+    x = x.crossJoin(F.broadcast(spark.createDataFrame(_GRID, "penalty double, bonus double")))
+    whole, cut = F.round(-F.col("ls") - F.col("bonus") * (F.col("k") - 1), 9), F.round(-F.col("lp") - F.col("bonus") * (F.col("k") - 2) + F.col("penalty"), 9)
+    h = x.groupBy("penalty", "bonus").agg(F.count_if((whole <= cut) == F.col("gold")).alias("hits"))
+    return h.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hits"), "penalty", "bonus")))
 
 
 @query(f"""WITH {W}, b AS (SELECT pos AS p1, lead(pos) OVER (PARTITION BY doc_id ORDER BY idx) AS p2 FROM t), n AS (SELECT p1, p2, count(*) AS n FROM b WHERE p2 IS NOT NULL GROUP BY ALL), c AS (SELECT p1, p2, -ln(n / sum(n) OVER ()) AS cost FROM n)

@@ -259,14 +259,20 @@ def label_confusion(spark, d):
     return j.groupBy("gold", "pred").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {G}, n AS (SELECT doc_id, lang, form, pos, sum(g) AS g, sum(p) AS p FROM b GROUP BY ALL),
-s AS (SELECT doc_id, lang, 2 * sum(least(g, p)) / (sum(g) + sum(p)) AS f FROM n GROUP BY ALL), c AS (SELECT lang, 1.0 - f AS d FROM s)
+_TAG = "CASE WHEN regexp_matches({0}[1], '[a-z]') THEN 'NNG' WHEN regexp_matches({0}[1], '[A-Z]') THEN 'NNP' WHEN regexp_matches({0}[1], '[0-9]') THEN 'SN' WHEN regexp_matches({0}[1], '[.!?]') THEN 'SF' ELSE 'SW' END"
+
+
+@query(f"""WITH {W}, o AS (SELECT doc_id, lang, lower(form) AS form, {_TAG.format("lower(form)")} AS pos FROM t), e AS (SELECT doc_id, lang, form[1:6] AS form, {_TAG.format("form")} AS pos FROM t),
+b AS (SELECT doc_id, lang, form, pos, 1 AS g, 0 AS o, 0 AS e FROM t UNION ALL SELECT *, 0, 1, 0 FROM o UNION ALL SELECT *, 0, 0, 1 FROM e),
+n AS (SELECT doc_id, lang, form, pos, sum(g) AS g, sum(o) AS o, sum(e) AS e FROM b GROUP BY ALL),
+s AS (SELECT doc_id, lang, 2 * sum(least(g, o)) / (sum(g) + sum(o)) AS a, 2 * sum(least(g, e)) / (sum(g) + sum(e)) AS b FROM n GROUP BY ALL), c AS (SELECT lang, b - a AS d FROM s)
 SELECT lang, count(*) FILTER (WHERE d > 1e-6) AS improved, count(*) FILTER (WHERE d < -1e-6) AS worsened, count(*) FILTER (WHERE abs(d) <= 1e-6) AS unchanged, round(avg(d), 6) AS mean_delta FROM c GROUP BY lang""")
 def model_comparison(spark, d):
-    """Old model (lower-casing) against a perfect new one, per sentence."""
-    gold, pred = sides(read(spark, d, "documents"))
-    keys = ["doc_id", "lang", "form", "pos"]
-    old, new = (evaluate.total(evaluate.matches(gold, p, keys), "doc_id", "lang") for p in (pred, gold))
+    """An old model (lower-casing) against a new one (cutting to six characters), per text: better on some, worse on others."""
+    w = words(read(spark, d, "documents"))
+    gold = w.select("doc_id", "lang", "form", "pos")
+    models = (w.select("doc_id", "lang", F.lower("form").alias("form"), tag(F.lower("form")).alias("pos")), w.select("doc_id", "lang", F.substring("form", 1, 6).alias("form"), "pos"))
+    old, new = (evaluate.total(evaluate.matches(gold, p, ["doc_id", "lang", "form", "pos"]), "doc_id", "lang") for p in models)
     return evaluate.compare(old, new, "doc_id", "lang").withColumn("mean_delta", F.round("mean_delta", 6))
 
 
@@ -275,9 +281,9 @@ def contamination_antijoin(spark, d):
     return curate.without_contamination(read(spark, d, "documents"), read(spark, d, "benchmark"), "text", text.collapse_key(F.col("text"))).select("doc_id")
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY regexp_replace(text, '\\s', '', 'g') ORDER BY doc_id) AS k FROM documents) WHERE k <= 1")
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY regexp_replace(text, '\\s', '', 'g') ORDER BY doc_id) AS k FROM documents) WHERE k <= 5")
 def duplicate_cap(spark, d):
-    return curate.cap_copies(read(spark, d, "documents"), F.md5(text.collapse_key(F.col("text"))), ["doc_id"], 1).select("doc_id")
+    return curate.cap_copies(read(spark, d, "documents"), F.md5(text.collapse_key(F.col("text"))), ["doc_id"], 5).select("doc_id")
 
 
 @query("SELECT text_hash, doc_id FROM (SELECT md5(text) AS text_hash, doc_id, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS k FROM documents) WHERE k = 1")
@@ -294,21 +300,26 @@ def decision_join(spark, d):
     return curate.decide(u.select("uid", "role"), x, "uid", "verdict", F.lit("auto"))
 
 
-@query(f"""WITH {W}, n AS (SELECT lower(form) AS form, count(*) AS n FROM t GROUP BY 1), c AS (SELECT form, n, row_number() OVER (ORDER BY n DESC, form) AS rank, sum(n) OVER (ORDER BY n DESC, form) / sum(n) OVER () AS share FROM n)
-SELECT form, n, rank::INT AS rank, round(share, 6) AS share FROM c WHERE rank IN (1, 10, 100, 500, 1000)""")
+MILESTONES = (100, 500, 1000, 2000, 3000, 5000, 7000, 10000)
+
+
+@query(f"""WITH {W}, n AS (SELECT lower(form) AS form, count(*) AS n FROM t GROUP BY 1), c AS (SELECT form, n, row_number() OVER (ORDER BY n DESC, form) AS rank, sum(n) OVER (ORDER BY n DESC, form) / sum(n) OVER () AS share, count(*) OVER () AS last FROM n)
+SELECT form, n, rank::INT AS rank, round(share, 6) AS share FROM c WHERE rank IN {MILESTONES} OR rank = last""")
 def cumulative_share(spark, d):
-    """Share of all words that the most frequent 1, 10, 100, 500 and 1,000 cover. Only those are sorted."""
+    """Share of all words that the most frequent 100 to 10,000, and all, cover. Only these 10,000 are sorted."""
     n = words(read(spark, d, "documents")).groupBy(F.lower("form").alias("form")).agg(F.count("*").alias("n"))
-    top = n.orderBy(F.desc("n"), "form").limit(1000)
+    top = n.orderBy(F.desc("n"), "form").limit(MILESTONES[-1])
     w = Window.orderBy(F.desc("n"), "form")
     ranked = top.select("form", "n", F.row_number().over(w).alias("rank"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
-    return ranked.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).where("rank in (1, 10, 100, 500, 1000)").select("form", "n", "rank", F.round(F.col("run") / F.col("all"), 6).alias("share"))
+    total = n.agg(F.sum("n").alias("all"), F.count("*").cast("int").alias("last"), F.max_by(F.struct("form", "n"), F.struct(-F.col("n"), "form")).alias("end"))
+    marked = ranked.crossJoin(F.broadcast(total)).where(F.col("rank").isin(*MILESTONES) & (F.col("rank") < F.col("last"))).select("form", "n", "rank", F.round(F.col("run") / F.col("all"), 6).alias("share"))
+    return marked.union(total.where("last > 0").select("end.form", "end.n", "last", F.lit(1.0)))
 
 
-@query(f"WITH {W}, n AS (SELECT form, count(*) AS n, count(*) * length(form) AS value FROM t GROUP BY form) SELECT form, n, value FROM n ORDER BY value DESC, form LIMIT 50")
+@query(f"WITH {W}, n AS (SELECT form, count(*) AS n, count(*) * length(form) AS value FROM t GROUP BY form) SELECT form, n, value FROM n ORDER BY value DESC, form LIMIT 5000")
 def top_weighted(spark, d):
     n = words(read(spark, d, "documents")).groupBy("form").agg(F.count("*").alias("n"))
-    return n.withColumn("value", F.col("n") * F.length("form")).orderBy(F.desc("value"), "form").limit(50)
+    return n.withColumn("value", F.col("n") * F.length("form")).orderBy(F.desc("value"), "form").limit(5000)
 
 
 @query(f"""WITH {W}, i AS (SELECT doc_id, idx, form, pos, sum(CASE WHEN pos = 'NNG' AND prev IS DISTINCT FROM 'NNG' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM t)),
@@ -416,16 +427,6 @@ def sanity_report(spark, d):
     return n.groupBy("source").agg(F.count("*").alias("texts"), F.count_if(F.col("n") == 0).alias("empty"), F.sum("odd").alias("unknown"), F.when(F.sum("odd") > 0.1 * F.sum("n"), "WARN").otherwise("OK").alias("status"))
 
 
-@query("""WITH x AS (SELECT doc_id, unnest([0, 0.5, 1, 2, 4, 8, 16, 32, 64]) AS margin, abs(hash_a - hash_b) AS delta, hash_a, hash_b FROM (SELECT doc_id, n_chars % 97 AS hash_a, n_chars % 89 AS hash_b FROM documents))
-SELECT margin::DOUBLE AS margin, count(*) FILTER (WHERE delta > margin) AS overrides, count(*) FILTER (WHERE delta > margin AND hash_b > hash_a) AS improved, count(*) FILTER (WHERE delta > margin AND hash_b < hash_a) AS worsened FROM x GROUP BY margin""")
-def margin_sweep(spark, d):
-    """How many choices each margin overrides, and for the better or worse."""
-    m = spark.createDataFrame([(float(x),) for x in (0, 0.5, 1, 2, 4, 8, 16, 32, 64)], "margin double")
-    x = read(spark, d, "documents").select((F.col("n_chars") % 97).alias("a"), (F.col("n_chars") % 89).alias("b")).crossJoin(F.broadcast(m))
-    over = F.abs(F.col("a") - F.col("b")) > F.col("margin")
-    return x.groupBy("margin").agg(F.count_if(over).alias("overrides"), F.count_if(over & (F.col("b") > F.col("a"))).alias("improved"), F.count_if(over & (F.col("b") < F.col("a"))).alias("worsened"))
-
-
 @query(f"""WITH {R}, a AS (SELECT doc_id, source, idx, max(form) FILTER (WHERE analyzer = 1) AS x, max(form) FILTER (WHERE analyzer = 3) AS y FROM r GROUP BY ALL)
 SELECT source, round(avg(CASE WHEN x = y THEN 1.0 ELSE 0.0 END), 6) AS agreement, CASE WHEN 1 - avg(CASE WHEN x = y THEN 1.0 ELSE 0.0 END) <= 0.02 THEN 'pass' ELSE 'review' END AS gate FROM a GROUP BY source""")
 def agreement_rate(spark, d):

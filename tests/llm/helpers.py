@@ -3,7 +3,7 @@ import random
 from pyspark.sql import types as T
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
-CLASH = ["rk", "key", "new", "cut", "h", "g", "d", "p", "n", "root", "out", "quality_score", "words", "runs", "spans", "band", "w"]
+CLASH = ["rk", "key", "new", "cut", "h", "g", "d", "p", "n", "root", "out", "quality_score", "ids", "decoded", "bits_per_byte", "toxic", "toxic_windows", "windows", "window_id", "n_tokens", "words", "runs", "spans", "band", "w"]
 
 
 def prose(n, seed, vocab=400):

@@ -50,10 +50,15 @@ def test_ids_of_a_unigram_model_equal_the_library():
 
 def test_pieces_odd_cases(spark):
     df = docs(spark, odd_rows(), extra=True)
-    out = pieces.decode(pieces.encode(df)).collect()
+    # columns named ids and decoded are there already: they stay, and the new ones step aside
+    out = pieces.decode(pieces.encode(df), ids="_ids").collect()
     assert len(out) == len(odd_rows()) and set(CLASH) < set(out[0].asDict())
-    assert all(r.decoded == r.text and (r.ids is None) == (r.text is None) for r in out)
-    assert [r.ids for r in out if r.text == ""] == [[]]
+    assert all(r["_decoded"] == r.text and (r["_ids"] is None) == (r.text is None) and r.ids == CLASH.index("ids") for r in out)
+    assert [r["_ids"] for r in out if r.text == ""] == [[]]
+    checked = pieces.encode_checked(df).collect()
+    assert len(checked) == len(odd_rows()) and all(r.round_trip is not False for r in checked) and sum(r.round_trip is None for r in checked) == 2
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        pieces.decode(spark.createDataFrame([([10**6],)], "ids array<int>")).collect()
     assert pieces.decode(pieces.encode(docs(spark, []))).count() == 0
     bad = spark.createDataFrame([([3 + 0xFF, 3 + 0xC3, 29706, 1],)], "ids array<int>")
     assert pieces.decode(bad).first().decoded.startswith("��")
@@ -188,13 +193,13 @@ def test_classifier_odd_cases(spark):
     df = docs(spark, odd_rows(), extra=True)
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.quality_filter(df, empty).count() == len(odd_rows())
-    out = toxicity.classify(df, toxicity.fit(df, empty), verdict="verdict").collect()
-    assert all(r.verdict is None for r in out)
+    out = toxicity.classify(df, toxicity.fit(df, empty)).collect()
+    assert all(r["_toxic"] is None and r.toxic == CLASH.index("toxic") for r in out)
     known, labels = labelled(spark)
-    out = quality.score(df, quality.fit(known, labels), "score").collect()
-    assert len(out) == len(odd_rows()) and all((r.score is None) == (r.text is None) for r in out)
-    out = toxicity.classify(df, toxicity.fit(known, labels), verdict="verdict").collect()
-    assert set(CLASH) < set(out[0].asDict()) and all((r.verdict is None) == (r.text is None) and not r.verdict for r in out)
+    out = quality.score(df, quality.fit(known, labels)).collect()
+    assert len(out) == len(odd_rows()) and all((r["_quality_score"] is None) == (r.text is None) and r.quality_score == CLASH.index("quality_score") for r in out)
+    out = toxicity.classify(df, toxicity.fit(known, labels)).collect()
+    assert set(CLASH) < set(out[0].asDict()) and all((r["_toxic"] is None) == (r.text is None) and not r["_toxic"] and not r["_toxic_windows"] for r in out)
     assert quality.quality_filter(docs(spark, []), labels).count() == 0 and toxicity.classify(docs(spark, []), toxicity.fit(known, labels)).count() == 0
 
 
@@ -286,8 +291,8 @@ def test_ctw_odd_cases(spark):
     for limit in (1 << 26, 0):
         out = ctw.score(docs(spark, odd_rows(), extra=True), 3, broadcast_bytes=limit).collect()
         assert len(out) == len(odd_rows()) and set(CLASH) < set(out[0].asDict())
-        assert all((r.bits_per_byte is None) == (not r.text) for r in out)
-        assert len({round(r.bits_per_byte, 4) for r in out if r.doc_id in (4, 5, None) and r.text}) == 1
+        assert all((r["_bits_per_byte"] is None) == (not r.text) for r in out)
+        assert len({round(r["_bits_per_byte"], 4) for r in out if r.doc_id in (4, 5, None) and r.text}) == 1
         assert ctw.score(docs(spark, []), 3, broadcast_bytes=limit).count() == 0
 
 
@@ -339,4 +344,46 @@ def test_packing_odd_cases(spark):
     got = packing.pack(docs(spark, odd_rows(), extra=True), window=100).collect()
     words = Counter(w for _, t in odd_rows() for w in (t or "").split())
     assert Counter(w for win in unpacked(got) for _, _, _, w in win) == words
-    assert packing.pack(docs(spark, [(1, None), (2, "")])).count() == 0
+    assert packing.pack(docs(spark, [(1, None), (2, "")])).count() == 0 and packing.pack(docs(spark, [])).count() == 0
+
+
+def slow_windows(model, text):
+    """Gain of each word of a text, each compressed by itself with both dictionaries."""
+    plain, toxic = model.compressors()
+    framed = [toxicity._BEFORE + b" " + w.encode() + b" " + toxicity._AFTER for w in text.split()]
+    return [len(plain.compress(x)) - len(toxic.compress(x)) for x in framed]
+
+
+def test_toxicity_matches_brute_force(spark):
+    df, labels = labelled(spark, 250)
+    model = toxicity.fit(df, labels)
+    for r in toxicity.classify(df, model).collect():
+        gains = slow_windows(model, r.text.lower())
+        hits = [sum(g >= gain for g in gains) for gain, _, _ in model.rules]
+        toxic = any(h >= least and h >= rate * len(gains) for h, (_, least, rate) in zip(hits, model.rules))
+        assert (r.toxic, r.windows, r.toxic_windows) == (toxic, len(gains), max(hits) if toxic else 0)
+
+
+def test_a_long_labelled_text_does_not_crowd_out_others(spark):
+    df, labels = labelled(spark, 120)
+    huge = docs(spark, [(-1, "vile " * 50_000)])
+    more = spark.createDataFrame([(-1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(df.union(huge), labels.union(more), most_bytes=1 << 20) is not None
+
+
+def test_quality_matches_one_fit_by_hand(spark):
+    """Random features, ridge and calibration on the driver alone give the scores of the distributed fit."""
+    df, labels = labelled(spark, 200)
+    model = quality.fit(df, labels)
+    rows = {r.doc_id: r.text for r in df.collect()}
+    marks = {r.doc_id: float(r.quality > 0) for r in labels.collect() if r.doc_id in rows}
+    held = {r.d: r.held for r in df.select(F.col("doc_id").alias("d"), (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(4)) == 0).alias("held")).collect()}
+    ids = sorted(marks)
+    x, y = quality.statistics(pa.array([rows[d] for d in ids])), np.array([marks[d] for d in ids])
+    z = quality.fourier((x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1), quality.FEATURES, quality.WIDTH)
+    t = np.array([not held[d] for d in ids])
+    w = np.linalg.solve(z[t].T @ z[t] + quality.RIDGE * t.sum() * np.eye(z.shape[1]), z[t].T @ y[t])
+    steps, values = quality.pool_adjacent(z[~t] @ w, y[~t])
+    want = values[np.maximum(np.searchsorted(steps, z @ w, "right") - 1, 0)]
+    got = {r.doc_id: r.quality_score for r in quality.score(df, model).collect()}
+    assert np.mean(np.abs(np.array([got[d] for d in ids]) - want) < 1e-6) > 0.98
