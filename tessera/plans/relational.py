@@ -202,14 +202,14 @@ def pool_upsert(spark, d):
 
 
 @query(f"""WITH {R}, p AS (SELECT form AS surface, pos, count(DISTINCT doc_id) AS frequency, count(DISTINCT analyzer) AS votes, list_distinct(list(CASE source WHEN 'src0' THEN 'news' WHEN 'src1' THEN 'blog' ELSE 'wiki' END)) AS domains FROM r WHERE form NOT IN ('the','and','de') GROUP BY ALL),
-g(gate, tags, v, f, dom, lo, hi) AS (VALUES ('L2-NNG',['NNG'],3,10,['news'],2,99),('L2-NNP',['NNP'],4,3,['news'],2,15),('L3',['NNG','MAG'],4,10,['blog'],2,99),('L4',['VV','VA'],4,10,['news','blog','wiki'],1,99),('L5',['NNG'],4,10,['news','blog','wiki'],3,99),('Wiki-strict',['NNG'],4,10,['wiki'],2,99),('Wiki-3of4',['NNG'],3,10,['wiki'],2,99))
-SELECT surface, pos, frequency, votes, gate FROM p JOIN g ON list_contains(tags, pos) AND votes >= v AND frequency >= f AND list_has_any(domains, dom) AND length(surface) BETWEEN lo AND hi WHERE surface NOT IN ('of','in')""")
+g(gate, tags, v, f, dom, lo, hi) AS (VALUES ('L2-NNG',['NNG'],3,10,['news'],2,99),('L2-NNP',['NNP'],4,3,['news'],2,15),('L3',['NNG','MAG'],4,10,['blog'],2,99),('L4',['VV','VA'],4,10,['news','blog','wiki'],1,99),('L5',['NNG'],4,10,['news','blog','wiki'],3,99),('Wiki-strict',['NNG'],4,10,['wiki'],2,99),('Wiki-3of4',['NNG'],3,10,['wiki'],2,99)), s(gate, stop) AS (VALUES ('L5', 'der'), ('L5', 'les'), ('Wiki-strict', 'les'))
+SELECT surface, pos, frequency, votes, gate FROM p JOIN g ON list_contains(tags, pos) AND votes >= v AND frequency >= f AND list_has_any(domains, dom) AND length(surface) BETWEEN lo AND hi WHERE surface NOT IN ('of','in') AND (gate, surface) NOT IN (SELECT gate, stop FROM s)""")
 def layer_gates(spark, d):
     r = readings(read(spark, d, "documents")).withColumn("domain", F.when(F.col("source") == "src0", "news").when(F.col("source") == "src1", "blog").otherwise("wiki"))
     # what no gate can pass is left out before it is counted
     open_ = r.where(~F.col("surface").isin("the", "and", "de", "of", "in")).where(curate.passable())
     p = curate.pool(open_, ["surface", "pos"], "analyzer", "domain", F.lit(False), "doc_id")
-    return curate.gate(p, stop=["of", "in"]).select("surface", "pos", "frequency", "votes", "gate")
+    return curate.gate(p, stop=["of", "in"], stops=curate.STOPS | {"L5": ["der", "les"], "Wiki-strict": ["les"]}).select("surface", "pos", "frequency", "votes", "gate")
 
 
 @query(f"""WITH {W}, a AS (SELECT DISTINCT lower(form) AS surface, pos, 1 AS layer FROM t WHERE source = 'src0'), b AS (SELECT DISTINCT lower(form) AS surface, pos, 2 AS layer FROM t WHERE source = 'src1')

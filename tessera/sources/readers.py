@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -16,10 +16,15 @@ from ..schema import GOLD, NIKL
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, text): trimmed lines; blank ones stay, so that results can be aligned with the file.
 
-    Line numbers come from the place in the file, within each file: one text per row needs no shuffle to be numbered.
+    Files are read in splits: a split's lines are numbered where they are read, from the lines of the splits before it
+    in its file. The splits are counted first; only these counts, a row per split, are shuffled.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    return whole.select("file", "line", F.trim("text").alias("text"))
+    m = F.col("_metadata")
+    read = spark.read.text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("_split"), F.monotonically_increasing_id().alias("_k"), "value")
+    splits = read.groupBy("file", "_split").agg(F.min("_k").alias("_first"), F.count("*").alias("_lines"))
+    before = F.sum("_lines").over(Window.partitionBy("file").orderBy("_split")) - F.col("_lines")
+    placed = read.join(splits.select("file", "_split", (before - F.col("_first")).alias("_shift")), ["file", "_split"])
+    return placed.select("file", (F.col("_k") + F.col("_shift")).alias("line"), F.trim("value").alias("text"))
 
 
 def jsonl(spark: SparkSession, path: str | list[str], schema: str | StructType = GOLD) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,17 @@ def split(df: DataFrame, condition, yes: str, no: str) -> None:
     df.where(~F.coalesce(condition, F.lit(False))).write.mode("errorifexists").json(no)
 
 
+def free_version(spark: SparkSession, root: str, version: str) -> str:
+    """``version``, or the first of version.2, version.3, ... that isn't there yet."""
+    jvm = spark._jvm
+    base, k, name = jvm.org.apache.hadoop.fs.Path(root), 1, version
+    files = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    while files.exists(jvm.org.apache.hadoop.fs.Path(base, f"v={name}")):
+        k += 1
+        name = f"{version}.{k}"
+    return name
+
+
 def publish(df: DataFrame, root: str, version: str) -> str:
     """A new version of a table beside the old ones, which stay readable: going back is reading another version."""
     path = f"{root}/v={version}"

@@ -34,7 +34,8 @@ def decide(base: dict[str, float], new: dict[str, float], tolerance: float = 0.1
 
 def run_layer(pool: DataFrame, gate: tuple, root: str, version: str, score: Callable[[DataFrame], dict[str, float]], base: dict[str, float], log: str | None = None, tolerance: float = 0.10, stop: list[str] | None = None) -> Outcome:
     """Appends what passes ``gate`` to version ``version`` of the dictionary (surface, pos, freq) under ``root``, as a
-    new version; ``score`` gets the new dictionary. A rejected or failed layer leaves the old version in force."""
+    new version; ``score`` gets the new dictionary. A rejected or failed layer leaves the old version in force; what it
+    wrote stays beside it, and another attempt gets a name of its own."""
     spark, name = pool.sparkSession, gate[0]
     passed = curate.gate(pool, [gate], stop).select("surface", "pos", F.col("frequency").alias("freq"))
     old = spark.read.parquet(f"{root}/v={version}")
@@ -44,13 +45,14 @@ def run_layer(pool: DataFrame, gate: tuple, root: str, version: str, score: Call
     if not passed.take(1):
         out = Outcome(name, 0, "skip_empty", None, version)
     else:
-        path = writers.publish(curate.append_absent(old, fresh.select(*old.columns), ["surface", "pos"]), root, f"{version}-{name}")
+        new = writers.free_version(spark, root, f"{version}-{name}")
+        path = writers.publish(curate.append_absent(old, fresh.select(*old.columns), ["surface", "pos"]), root, new)
         try:
             scores = score(spark.read.parquet(path))
             decision = decide(base, scores, tolerance)
         except Exception as e:  # whatever the scorer raises: the layer isn't admitted, and the log says why
             decision = f"reject_error ({type(e).__name__})"
-        out = Outcome(name, added if decision == "pass" else 0, decision, scores, f"{version}-{name}" if decision == "pass" else version)
+        out = Outcome(name, added if decision == "pass" else 0, decision, scores, new if decision == "pass" else version)
     if log:
         line = [(name, out.added, out.decision, *[float((scores or {}).get("overall", float("nan")))], "\t".join(f"{k}={v}" for k, v in (scores or {}).items() if k != "overall"))]
         logged = spark.createDataFrame(line, "layer string, added long, decision string, overall double, domains string").withColumn("at", F.current_timestamp())

@@ -75,3 +75,19 @@ def test_stream(spark, tmp_path):
     q = pipeline.run_once(pipeline.analyzed(pipeline.first_seen(s, "ts"), Analyzer(seed_model())), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_lines_of_files_in_many_splits(spark, tmp_path):
+    texts = {"a.txt": [f"줄 {k} " + "가" * (k % 50) for k in range(3000)], "b.txt": ["", "x", "", "y" * 5000, "z"], "c.txt": []}
+    for name, own in texts.items():
+        (tmp_path / name).write_text("\n".join(own))
+    size = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "7000")
+        df = readers.lines(spark, str(tmp_path))
+        got = {(r.file.rpartition("/")[2], r.line): r.text for r in df.collect()}
+        splits = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set(size, old)
+    assert got == {(f, k): t.strip() for f, own in texts.items() for k, t in enumerate(own)} and splits > 10
