@@ -216,7 +216,7 @@ def score(docs: DataFrame, depth: int = DEPTH, doc_id: str = "doc_id", text: str
         rk, key, bits = fresh(docs, "rk", "key", "bits")
         keyed = docs.withColumn(rk, row_key(doc_id, text))
         parts = keyed.where(size > 0).select(col(rk).alias("rk"), col(text).alias("text")).dropDuplicates(["rk"]).mapInArrow(_text_grams(depth), "rk long, code long, n long")
-        sums = parts.join(table, "code").groupBy("rk").agg(F.sum(F.col("n") * F.col("bits")).alias(bits)).withColumnRenamed("rk", key)
+        sums = parts.join(table, "code").groupBy("rk").agg(F.sum(F.col("n") * F.col("bits").cast("float")).alias(bits)).withColumnRenamed("rk", key)
         met = keyed.join(sums, col(rk) == col(key), "left")
         return met.select(*[col(c) for c in docs.columns], F.when(size > 0, col(bits) / size).alias(fresh(docs, name)[0]))
     rows = table.toArrow().sort_by("code")
