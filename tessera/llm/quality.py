@@ -3,7 +3,7 @@
 A text becomes ``STATISTICS`` numbers (sizes, letter classes, repetition), standardised, then cosines of ``features``
 random projections, which approximate a Gaussian kernel of width ``width``. Each partition of the labelled sample
 sums its part of Z'Z and Z'y; the sums, row by row of the matrix, meet in a groupBy. Scores of the held-out quarter
-of the sample are calibrated by pool-adjacent-violators. ``most_labels`` bounds the labelled rows used to fit, taken
+of the sample are calibrated by pool-adjacent-violators; between two steps the calibration is linear. ``most_labels`` bounds the labelled rows used to fit, taken
 in the order of a hash of doc_id; scoring covers every row and every whole text.
 
 Defined cases: labels whose doc_id or quality is null, and those whose document is missing, are not used; several
@@ -117,7 +117,7 @@ class Model:
         return fourier((x - self.mean) / self.scale, self.features, self.width) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return self.values[np.maximum(np.searchsorted(self.steps, self.raw(x), "right") - 1, 0)]
+        return np.interp(self.raw(x), self.steps, self.values)
 
 
 def _stat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, feat
     model = Model(mean, scale, weights, np.array([0.0]), np.array([0.0]), features, width)
     held = x if sums["h"] in (0, sums["n"]) else x.where("held = 1")
     m = np.array(held.select("y", *STATISTICS).orderBy("y", *STATISTICS).collect(), float)  # part of the bounded sample
-    model.steps, model.values = pool_adjacent(model.raw(m[:, 1:]), m[:, 0])
+    raw = model.raw(m[:, 1:])
+    least, values = pool_adjacent(raw, m[:, 0])
+    at = np.unique(raw)
+    greatest = at[np.append(np.searchsorted(at, least[1:]) - 1, -1)]
+    model.steps, model.values = np.column_stack([least, greatest]).ravel(), values.repeat(2)
     return model
 
 
