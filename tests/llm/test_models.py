@@ -296,6 +296,56 @@ def test_ctw_odd_cases(spark):
         assert ctw.score(docs(spark, []), 3, broadcast_bytes=limit).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that this session has written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_ctw_beyond_the_broadcast_shuffles_a_few_times_the_text(spark):
+    texts = [prose(400, k, 5000) for k in range(2000)]
+    df, size = docs(spark, list(enumerate(texts))).cache(), sum(map(len, texts))
+    df.count()
+    before = shuffled(spark)
+    # so small a table Spark would broadcast by itself
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        ctw.score(df, broadcast_bytes=0).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled(spark) - before < 4 * size
+    df.unpersist()
+
+
+def test_ctw_scores_agree_over_many_chunks(spark, monkeypatch):
+    """Chunks of a few texts, buckets shared by chunks, batches that end inside both; filters, pruning and sorts after."""
+    rows = odd_rows() + [(100 + k, letters(k, 60 + 7 * (k % 5))) for k in range(80)]
+    df = docs(spark, rows, extra=True).withColumns({"chunk": F.lit(1), "code": F.lit(2), "bits": F.lit(3), "a.b`c": F.array(F.lit(4))})
+    want = sorted(map(str, ctw.score(df, 3).select("doc_id", F.round("_bits_per_byte", 6), "text", "chunk", "code", "bits", ctw.col("a.b`c")).collect()))
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", 5000)
+    monkeypatch.setattr(ctw, "MOST_BUCKETS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        out = ctw.score(df, 3, broadcast_bytes=0)
+        assert out.columns == [*df.columns, "_bits_per_byte"]
+        got = sorted(map(str, out.select("doc_id", F.round("_bits_per_byte", 6), "text", "chunk", "code", "bits", ctw.col("a.b`c")).collect()))
+        assert got == want
+        assert out.count() == len(rows) and out.where("doc_id >= 100 and _bits_per_byte > 0").count() == 80
+        assert out.orderBy("doc_id").groupBy("chunk").agg(F.count("_bits_per_byte")).collect()[0][1] == sum(bool(r[1]) for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_packed_grams_come_back():
+    code = np.unique(np.random.default_rng(1).integers(0, 1 << 56, 1000, dtype=np.uint64))
+    for some in (code, code[:1], code[:0]):
+        assert (ctw._unpacked(ctw._packed(some)) == some).all()
+    dealt = list(ctw._dealt(code, 7))
+    assert sorted(np.concatenate([at for _, at in dealt]).tolist()) == list(range(len(code)))
+    assert all((np.diff(at) > 0).all() for _, at in dealt) and [b for b, _ in dealt] == list(range(7))
+
+
 def slow_pack(rows, window, weights):
     """Deficit round-robin, one queue visit at a time."""
     queues = defaultdict(list)
