@@ -38,6 +38,10 @@ from .blocks import Words, chunks, mix, pair, shifted, signed, text_buffers, win
 from .common import col, fresh, row_key, stage
 
 LEAST, ANCHOR = 50, 20
+#: Sorted suffixes go to the scan in pieces of this many bytes: Spark counts rows, so a batch of whole ones has no bound.
+PIECE = 2048
+#: Bytes of text whose words are hashed at a time; the arrays for them take about 50 times as much.
+RUN = 1 << 19
 
 
 def _runs(least: int, anchor: int):
@@ -46,7 +50,7 @@ def _runs(least: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
-            for lo, _, w in word_runs(batch.column(1), most=1 << 21):
+            for lo, _, w in word_runs(batch.column(1), most=RUN):
                 n = np.diff(w.first)
                 long = np.flatnonzero(n >= least)
                 if not len(long):
@@ -109,7 +113,7 @@ def _starts(least: int):
             ri, rn, rd = (each.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             off = np.zeros(len(batch) + 1, np.int64)
             np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False), out=off[1:])
-            for lo, hi, w in word_runs(batch.column(1), most=1 << 21):
+            for lo, hi, w in word_runs(batch.column(1), most=RUN):
                 gram = window_hash(w.hashes, least)
                 cols: list[list[np.ndarray]] = [[], [], [], [], []]
                 for k in range(lo, hi):
@@ -163,7 +167,7 @@ def _suffix_rows(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
     off = np.zeros(len(batch) + 1, np.int64)
     np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), out=off[1:])
     body, at = text_buffers(batch.column(2))
-    for lo, hi in chunks(at, 1 << 21):
+    for lo, hi in chunks(at, RUN):
         w = Words(body[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
         pick, words, held = [], [], 0
 
@@ -253,9 +257,32 @@ class Scan:
         self.suffix, self.prev = suffix, prev
 
 
+def _pieces(rows: DataFrame) -> DataFrame:
+    """Each suffix in rows of at most ``PIECE`` bytes, in order; ``last`` tells the last one."""
+    # the number goes along and not the suffix, which would be copied to each piece's row
+    cut = rows.withColumn("n", F.ceil(F.length("suffix") / PIECE).cast("int"))
+    parts = F.transform(F.sequence(F.lit(1), "n"), lambda k: F.substring("suffix", (k - 1) * PIECE + 1, F.lit(PIECE)))
+    # none is empty; for an inner explode Spark would add a filter that cuts each suffix once more
+    cut = cut.select("h", F.posexplode_outer(parts).alias("k", "piece"), "doc_id", "rk", "i", "prev", "n")
+    return cut.select("h", "piece", "doc_id", "rk", "i", "prev", (F.col("k") + 1 == F.col("n")).alias("last"))
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(h, suffix, doc_id, rk, i, prev): suffixes put together from their pieces, one at a time."""
+    begun: list[bytes] = []
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns))
+        body, at = text_buffers(batch.column(1))
+        ends = np.flatnonzero(batch.column(6).to_numpy(zero_copy_only=False))
+        lo = 0
+        for hi, h, *others in zip(at[ends + 1].tolist(), *(batch.column(k).take(pa.array(ends)).to_pylist() for k in (0, 2, 3, 4, 5))):
+            suffix = body[lo:hi].tobytes()
+            if begun:
+                suffix = b"".join([*begun, suffix])
+                begun.clear()
+            lo = hi
+            yield h, suffix, *others
+        if lo < len(body):
+            begun.append(body[lo:].tobytes())
 
 
 def _groups(least: int, most: int = 1 << 18):
@@ -379,7 +406,7 @@ def _spans(least: int, most: int = 1 << 17):
 
 
 def sorted_suffixes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Texts that hold repeats, and (h, suffix, doc_id, rk, i, prev): in each partition the sorted suffixes that can begin one."""
+    """Texts that hold repeats, and in each partition the sorted suffixes that can begin one, in the rows of ``_pieces``."""
     if not 0 < anchor < least:
         raise ValueError("anchor must be less than least")
     base = docs.where(col(text).isNotNull()).select(row_key(doc_id, text).alias("rk"), col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
@@ -401,7 +428,7 @@ def sorted_suffixes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, d
     rows = held.join(by_doc, "rk").select("rk", "doc_id", "text", "starts").mapInArrow(_suffixes(least), "h long, suffix binary, doc_id long, rk long, i int, prev long")
     # suffixes are long rows: more and smaller partitions keep a task's sort in little memory
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return held, rows.repartition(parts, "h").sortWithinPartitions("h", "suffix", "doc_id", "i")
+    return held, _pieces(rows.repartition(parts, "h").sortWithinPartitions("h", "suffix", "doc_id", "i"))
 
 
 def repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

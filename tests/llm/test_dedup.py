@@ -73,6 +73,27 @@ def test_repeats_match_brute_force(spark, seed):
     assert spelled == places
 
 
+def test_long_suffixes_reach_the_scan_in_pieces(spark, monkeypatch):
+    """Rows for the scan are small however long the texts, and any cut of pieces into batches gives the same groups."""
+    copy = prose(1500, 1, 5000)
+    rows = [(d, f"head{d} {copy} tail{d}") for d in range(3)] + [(9, copy)]
+    _, sent = suffix.sorted_suffixes(docs(spark, rows))
+    got = sent.toPandas()
+    assert len(copy) > 2 * suffix.PIECE and 0 < max(len(p) for x in got.columns for p in got[x] if isinstance(p, (bytes, bytearray))) <= suffix.PIECE
+    want = sorted(map(tuple, suffix.repeats(docs(spark, rows)).collect()), key=str)
+    assert {(w[2], w[3]) for w in want} == {(1500, 4)}
+    monkeypatch.setattr(suffix, "PIECE", 100)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, suffix.repeats(docs(spark, rows)).collect()), key=str) == want
+        texts = scattered(6)
+        left = {r.doc_id: r.text.split() for r in suffix.suffix_dedup(docs(spark, texts.items()), least=6, anchor=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert left == kept_words(texts, 6)
+
+
 def kept_words(texts, least):
     """What suffix_dedup must leave, by its definition: of each repeat's places all but the first go."""
     words = {d: t.split() for d, t in texts.items()}
