@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -55,19 +56,37 @@ def is_wiki_sentence(text: Column) -> Column:
     return (F.length(text) >= 20) & text.rlike("[.!?]$") & (hangul_ratio(text) >= 0.5)
 
 
-_EDGES = r"(?U)^\s+|\s+$"
+#: White space in Unicode's sense, as (?U)\\s takes it; that of Python's \\s has separators of records more.
+_BLANK = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SENTENCE_END = re.compile(f"([.!?…][{_BLANK}]+)(?=[가-힣A-Z\"'(\\[{{])")
 
 
 def segments(text: Column) -> Column:
     """array<struct<text, start>>: trimmed sentences, and where each begins in the text, blanks included, in characters.
 
-    A sentence ends at terminators before white space and Hangul, a capital, a quote or an opening bracket.
+    A sentence ends at terminators before white space and Hangul, a capital, a quote or an opening bracket. One pass over
+    the text: column functions would cut it and add up lengths again for each sentence.
     """
-    cut = F.split(F.regexp_replace(text, r"(?U)([.!?…]\s+)(?=[가-힣A-Z\"'(\[{])", "$1\u0001"), "\u0001")
-    ends = F.aggregate(cut, F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.get(a, F.size(a) - 1) + F.length(s))))
-    rows = F.transform(cut, lambda s, i: F.struct(F.regexp_replace(s, _EDGES, "").alias("text"), F.get(ends, i).alias("start")))
-    kept = F.filter(rows, lambda r: r["text"] != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.struct(F.regexp_replace(text, _EDGES, "").alias("text"), F.lit(0).alias("start"))))
+    return F.arrow_udf(_segments, "array<struct<text:string,start:int>>")(text)
+
+
+def _segments(texts: pa.Array) -> pa.Array:
+    found: list[str | None] = []
+    starts: list[int] = []
+    offsets = [0]
+    for t in texts.to_pylist():
+        at = 0
+        for s in () if t is None else _SENTENCE_END.sub("\\1\x01", t).split("\x01"):
+            if x := s.strip(_BLANK):
+                found.append(x)
+                starts.append(at)
+            at += len(s)
+        if len(found) == offsets[-1]:
+            found.append(None if t is None else t.strip(_BLANK))
+            starts.append(0)
+        offsets.append(len(found))
+    rows = pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(starts, pa.int32())], ["text", "start"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
 
 def composed(text: Column) -> Column:
