@@ -21,3 +21,68 @@ def test_sentences_of_a_long_text_take_time_in_proportion(spark):
     assert time.time() - began < 60
     assert [(r.text, r.start) for r in got[0]] == [(p.strip(), sum(map(len, parts[:k]))) for k, p in enumerate(parts)]
     assert [[tuple(r) for r in s] for s in got[1:]] == [[(None, 0)], [("", 0)], [("a.", 0), ("B", 3), ("c", 4)]]
+
+
+def test_no_correction_fits_a_plain_text():
+    from tessera.analysis import rules, select
+
+    marks = {"SL", "SN", "SF", "SP", "SE", "SO", "SS", "SH", "SW"}
+    hangul = lambda forms: all("ㄱ" <= f[0] <= "힣" or "ᄀ" <= f[0] <= "ᇿ" for f in forms)
+    for rule in [r for n in rules.SECOND for r in rules.RULES[n]] + rules.DERIVED + [rules._MERGE] + select._LAST:
+        assert any((tags is not None and tags.isdisjoint(marks)) or (forms is not None and hangul(forms)) for forms, tags in rule.items), rule
+
+
+def test_plain_texts_are_decoded_as_by_the_lattice():
+    import random
+
+    from tessera.analysis import decode
+    from tessera.analysis.lattice import Lattice
+    from tessera.analysis.seed import seed_model
+
+    m, r = seed_model(), random.Random(3)
+    for k in range(300):
+        t = "".join(r.choice('aZ19.,- é漢(\xa0"…\x1c') for _ in range(r.randrange(1, 30)))
+        if t.strip():
+            path = decode.best_paths(m, t, Lattice(m, t).arcs(), 10)
+            assert m.is_plain(t) and len(path) == 1
+            assert decode.single(m, t) == (path[0][0], decode._spans(decode._tokens(path[0][1], t, m), t))
+        arcs = Lattice(m, t).arcs()
+        for source, (n, cost) in decode.arc_sums(m, t).items():
+            of = [a.cost for a in arcs if a.source == source]
+            assert n == len(of) and abs(cost - sum(of)) < 1e-6
+        assert sum(n for n, _ in decode.arc_sums(m, t).values()) == len(arcs)
+    assert not m.is_plain("abc 나") and not m.is_plain("a b", {"b": ("NNG", 1)})
+
+
+def test_one_long_sentence_is_decoded_in_time_in_proportion():
+    from tessera.analysis import decode
+    from tessera.analysis.seed import seed_model
+
+    m = seed_model()
+    for text in ("abc é1 " * 40_000, "가 é1 " * 4_000):
+        began = time.time()
+        cost, tokens = decode.single(m, text)
+        assert time.time() - began < 20 and tokens[-1].end == len(text) - 1
+
+
+def test_tokens_of_a_batch_never_leave_the_worker(spark):
+    from tessera.analysis import api
+    from tessera.analysis.seed import seed_model
+
+    a = api.Analyzer(seed_model())
+    df = spark.createDataFrame([("나는 새를 보았다. abc\nabc 1",), (None,), ("",), ("학교에 갔다!",)], "t string")
+    counts = a.token_counts(df, "t").groupBy("pos", "text").agg(F.sum("n").alias("n"))
+    rows = df.select(F.explode(a.analyze(F.col("t"))["tokens"]).alias("x")).groupBy("x.pos", "x.text").agg(F.count("*").alias("n"))
+    assert counts.count() > 5 and counts.exceptAll(rows).count() == rows.exceptAll(counts).count() == 0
+
+
+def test_a_sentence_that_comes_again_is_read_once():
+    from tessera.analysis import api
+    from tessera.analysis.seed import seed_model
+
+    asked = []
+    read = api.Reader(lambda model, sentence, user: asked.append(sentence) or len(sentence), seed_model(), {})
+    assert [read(x) for x in ("가", "가", "나", "abc", "abc", "", "가")] == [1, 1, 1, 3, 3, 0, 1] and asked == ["가", "나", "abc", "abc", ""]
+    for k in range(3 * api._MOST_KEPT // 200):
+        read("가" * 190 + str(k))
+    assert sum(map(len, api._SHELVES[read.name])) <= api._MOST_KEPT + 256
