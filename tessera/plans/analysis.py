@@ -112,12 +112,9 @@ def _shown(tokens):
 @query()
 def analyze_pos_counts(spark, d):
     """Tokens by tag over all documents."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:  # analysis costs far more than moving a small table
-        docs = docs.repartition(cores)
-    rows = api.token_rows(docs.withColumn("a", api.Analyzer(seed_model()).analyze(F.col("text"))), "doc_id", "a")
-    return rows.groupBy("pos").agg(F.count("*").alias("n"), F.countDistinct("text").alias("forms"))
+    counts = api.Analyzer(seed_model()).token_counts(spread(read(spark, d, "documents").select("doc_id", "text")), "text")
+    forms = counts.groupBy("pos", "text").agg(F.sum("n").alias("n"))
+    return forms.groupBy("pos").agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
 
 
 @query()
