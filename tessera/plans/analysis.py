@@ -141,8 +141,8 @@ def lattice_words(spark, d):
 @query()
 def lattice_arcs(spark, d):
     """All candidate arcs of every sentence of the documents, by kind: their number and mean cost."""
-    out = _document_sentences(spark, d).select("doc_id", F.explode(api.Analyzer(seed_model()).arcs(F.col("sentence"))).alias("a"))
-    return out.groupBy("doc_id", "a.source").agg(F.count("*").alias("arcs"), F.round(F.avg("a.cost"), 4).alias("cost"))
+    out = _document_sentences(spark, d).select("doc_id", F.inline(api.Analyzer(seed_model()).arc_sums(F.col("sentence"))))
+    return out.groupBy("doc_id", "source").agg(F.sum("arcs").alias("arcs"), F.round(F.sum("cost") / F.sum("arcs"), 4).alias("cost"))
 
 
 @query(f"SELECT doc_id, {korean._expected(lambda m: m.split('/')[0] if m.split('/')[1] in ('NNG', 'NNP') else '')} AS nouns, {korean._expected()} AS tokens FROM documents")
