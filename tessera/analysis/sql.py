@@ -14,7 +14,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import select
-from .api import SEARCH_TAGS, Analyzer
+from .api import SEARCH_TAGS, Analyzer, Reader, best
 from .lattice import Lattice
 from .model import Model
 
@@ -77,16 +77,18 @@ class Tokenizer:
 def register(spark: SparkSession, model: Model, prefix: str = "ko_") -> None:
     from pyspark.sql.functions import udtf
 
-    def over(f: Callable[[list], object], kind: pa.DataType) -> Callable[[pa.Array], pa.Array]:
+    read = Reader(best, model, {}, select.analyze)
+
+    def over(f: Callable[[tuple], object], kind: pa.DataType) -> Callable[[pa.Array], pa.Array]:
         def run(texts: pa.Array) -> pa.Array:
-            return pa.array([None if t is None else f(select.analyze(model, t, {})) for t in texts.to_pylist()], kind)
+            return pa.array([None if t is None else f(read(t)) for t in texts.to_pylist()], kind)
 
         return run
 
     kinds = {
-        "tokens": (lambda a: [{"text": t.text, "pos": t.pos} for t in a[1]], _READING, READING),
-        "nouns": (lambda a: [t.text for t in a[1] if t.pos in ("NNG", "NNP")], pa.list_(pa.string()), "array<string>"),
-        "terms": (lambda a: [t.text.lower() for t in a[1] if t.pos in SEARCH_TAGS], pa.list_(pa.string()), "array<string>"),
+        "tokens": (lambda a: [{"text": x, "pos": p} for x, p in zip(a[1], a[2])], _READING, READING),
+        "nouns": (lambda a: [x for x, p in zip(a[1], a[2]) if p in ("NNG", "NNP")], pa.list_(pa.string()), "array<string>"),
+        "terms": (lambda a: [x.lower() for x, p in zip(a[1], a[2]) if p in SEARCH_TAGS], pa.list_(pa.string()), "array<string>"),
         "score": (lambda a: float(a[0]), pa.float64(), "double"),
     }
     for name, (f, arrow, kind) in kinds.items():
