@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..schema import TAGS
 
@@ -78,15 +83,85 @@ def ambiguous(counts: DataFrame, key: str, value: str, n: str, least_total: int,
 def prefix_matches(texts: DataFrame, words: DataFrame, key: str, text: str, surface: str = "surface") -> DataFrame:
     """Dictionary words that begin at each place of each text: (key, start, surface, ...), places from 0.
 
-    Places times lengths that the dictionary has are hashed against it; the dictionary is the small side.
+    A dictionary of up to a million words travels as a trie, which all places of a batch go down together: only those
+    that still match are looked at again. For a larger one, places times its lengths are joined with it.
     """
+    if words.count() < 1_000_000:
+        trie = _Trie([r[0] for r in words.select(surface).distinct().collect() if r[0] is not None], key, surface)
+        kinds = StructType([StructField(key, texts.schema[key].dataType), StructField("start", IntegerType()), StructField(surface, StringType())])
+        return texts.select(key, F.col(text).alias("t")).mapInArrow(trie, kinds).join(F.broadcast(words), surface)
     found = words.select(F.length(surface)).distinct().collect()  # one row per length
     lengths = ", ".join(str(r[0]) for r in sorted(found))
     # characters as an array, held by a lambda's variable: places in a long string are found by counting from its start
     cut = f"flatten(transform(sequence(0, size(c) - 1), p -> transform(filter(array({lengths}), k -> p + k <= size(c)), k -> struct(p as start, array_join(slice(c, p + 1, k), '') as {surface}))))"
     texts = texts.select(key, F.col(text).alias("t")).where("length(t) > 0")
     at = texts.select(key, F.expr(f"element_at(transform(array(filter(split(t, ''), x -> x <> '')), c -> {cut}), 1)").alias("at")).select(key, F.expr("inline_outer(at)"))
-    return at.join(F.broadcast(words) if words.count() < 1_000_000 else words, surface)
+    return at.join(words, surface)
+
+
+_END = 0x110000  # stands between texts: no character
+
+
+class _Trie:
+    """Batches (key, t) into rows (key, start, surface). Nodes are numbered from 0, the root; an edge is node, character."""
+
+    def __init__(self, surfaces: list[str], key: str, surface: str):
+        edges: dict[tuple[int, str], int] = {}
+        ends = {}
+        for k, word in enumerate(surfaces):
+            node = 0
+            for c in word:
+                node = edges.setdefault((node, c), len(edges) + 1)
+            ends[node] = k
+        self.names, self.surfaces = [key, "start", surface], surfaces
+        order = sorted((node << 21 | ord(c), to) for (node, c), to in edges.items())
+        self.edges, self.to = np.array([e for e, _ in order], np.int64), np.array([t for _, t in order], np.int32)
+        self.word = np.full(len(edges) + 1, -1, np.int32)
+        for node, k in ends.items():
+            self.word[node] = k
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.zeros(_END + 1, np.int32)  # the first step, from the root, looks at every place
+        root = self.edges < 1 << 21
+        first[self.edges[root]] = self.to[root]
+        surfaces = pa.array(self.surfaces, pa.string())
+        for batch in batches:
+            rows, parts, size = [], [], 0
+            for k, t in enumerate(batch.column(1)):
+                if t := t.as_py():
+                    rows.append(k)
+                    parts.append(np.frombuffer(t.encode("utf-32-le"), np.uint32))
+                    size += len(parts[-1])
+                if parts and (size >= 1 << 20 or k == batch.num_rows - 1):
+                    yield from self._found(batch.column(0), rows, parts, first, surfaces)
+                    rows, parts, size = [], [], 0
+            if parts:
+                yield from self._found(batch.column(0), rows, parts, first, surfaces)
+
+    def _found(self, keys: pa.Array, rows: list[int], parts: list[np.ndarray], first: np.ndarray, surfaces: pa.Array) -> Iterator[pa.RecordBatch]:
+        end = np.array([_END], np.uint32)
+        codes = np.concatenate([x for p in parts for x in (p, end)])
+        begin = np.cumsum([0] + [len(p) + 1 for p in parts])
+        at, node = np.flatnonzero(codes != _END), None
+        if self.word[0] >= 0:
+            yield self._rows(keys, rows, begin, at, np.full(len(at), self.word[0]), surfaces)
+        depth = 0
+        while len(at):
+            if depth == 0:
+                node = first[codes[at]]
+            else:
+                edge = node.astype(np.int64) << 21 | codes[at + depth]
+                k = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+                node = np.where(self.edges[k] == edge, self.to[k], 0)
+            at, node = at[node > 0], node[node > 0]
+            word = self.word[node]
+            if (hit := word >= 0).any():
+                yield self._rows(keys, rows, begin, at[hit], word[hit], surfaces)
+            depth += 1
+
+    def _rows(self, keys: pa.Array, rows: list[int], begin: np.ndarray, at: np.ndarray, word: np.ndarray, surfaces: pa.Array) -> pa.RecordBatch:
+        text = np.searchsorted(begin, at, "right") - 1
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(np.array(rows)[text])), pa.array((at - begin[text]).astype(np.int32)), surfaces.take(pa.array(word))], self.names)
 
 
 def islands(tokens: DataFrame, sentence: str, order: str, inside: Column) -> DataFrame:
